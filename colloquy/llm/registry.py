@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import packing, simhash
 
-_MODULES = (simhash,)
+_MODULES = (packing, simhash)
 
 QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
