@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, simhash
+from . import packing, quality_rules, simhash
 
-_MODULES = (packing, simhash)
+_MODULES = (packing, quality_rules, simhash)
 
 QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
