@@ -72,8 +72,24 @@ def fresh_name(columns: Iterable[str], wanted: str) -> str:
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z lower-cased and nothing else, unlike `lower`."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z lower-cased and nothing else. `lower` does it, much faster, where all is ASCII."""
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def zip_hash(a: Column, b: Column) -> Column:
+    """Hash of each two elements of two arrays; past the end of the shorter one it hashes nulls."""
+    return F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
+
+
+def drop_first(array: Column, n: int) -> Column:
+    """The array without its first `n` elements."""
+    return F.slice(array, F.lit(n + 1), F.greatest(F.size(array) - n, F.lit(0)))
+
+
+def drop_last(array: Column, n: int) -> Column:
+    """The array without its last `n` elements."""
+    return F.slice(array, F.lit(1), F.greatest(F.size(array) - n, F.lit(0)))
 
 
 def split_words(text: Column) -> Column:

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, fresh_name, materialize, read_table, split_words
+from .common import SPACE_CLASS, drop_first, drop_last, fresh_name, materialize, read_table, split_words, zip_hash
 
 GOOD, BAD, ABSTAIN = 1, -1, 0
 SYMBOLS = "#*$%&|<>"
@@ -30,16 +30,6 @@ KEEP_AT = 0.5
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_exclaims", "n_stops")
 
 
-def _pairs(a: Column, b: Column) -> Column:
-    """Hash of each two elements of two arrays, as far as the shorter one goes."""
-    return F.filter(F.zip_with(a, b, lambda x, y: F.when(x.isNotNull() & y.isNotNull(), F.xxhash64(x, y))), lambda x: x.isNotNull())
-
-
-def _from(array: Column, start: int) -> Column:
-    """The array without its first `start` elements."""
-    return F.slice(array, F.lit(start + 1), F.greatest(F.size(array) - start, F.lit(0)))
-
-
 def add_features(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     """`df` and FEATURES of its column `text`, each with `prefix` before its name.
 
@@ -52,30 +42,29 @@ def add_features(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     body, col = F.col(tmp["body"]), {k: F.col(v) for k, v in tmp.items()}
     out = df.withColumn(tmp["body"], F.coalesce(F.col(text), F.lit("")))
     out = out.withColumn(tmp["hash"], F.transform(split_words(body), lambda w: F.xxhash64(w)))
-    out = out.withColumn(tmp["pair"], _pairs(col["hash"], _from(col["hash"], 1)))
-    out = out.withColumn(tmp["four"], _pairs(col["pair"], _from(col["pair"], 2)))
-    out = out.withColumn(tmp["win"], _pairs(col["four"], _from(col["hash"], WINDOW_WORDS - 1)))
+    out = out.withColumn(tmp["pair"], zip_hash(col["hash"], drop_first(col["hash"], 1)))
+    out = out.withColumn(tmp["four"], zip_hash(col["pair"], drop_first(col["pair"], 2)))
+    out = out.withColumn(tmp["win"], drop_last(zip_hash(col["four"], drop_first(col["hash"], WINDOW_WORDS - 1)), WINDOW_WORDS - 1))
     # Only where some window occurs twice: its places, sorted by window and then put in order.
     places = F.sort_array(F.transform(col["win"], lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     out = out.withColumn(tmp["rep"], F.when(F.size(F.array_distinct(col["win"])) < F.size(col["win"]), places))
-    same = F.zip_with(col["rep"], _from(col["rep"], 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    same = F.zip_with(col["rep"], drop_first(col["rep"], 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
     out = out.withColumn(tmp["rep"], F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull())))))
     # Each place adds as many words as lie before the next one, five at most.
-    steps = F.zip_with(col["rep"], _from(col["rep"], 1), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW_WORDS)), F.lit(WINDOW_WORDS)))
+    steps = F.zip_with(col["rep"], drop_first(col["rep"], 1), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW_WORDS)), F.lit(WINDOW_WORDS)))
     covered = F.coalesce(F.aggregate(steps, F.lit(0), lambda total, x: total + x), F.lit(0))
     out = out.withColumn(tmp["lines"], F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS}]")))
-    no_space = F.translate(body, " \t\n\x0b\x0c\r", "")
     made = {
         "n_words": F.size(col["hash"]),
-        "word_chars": F.length(no_space),
-        "n_symbols": F.length(body) - F.length(F.translate(body, SYMBOLS, "")),
+        "word_chars": F.length(body) - F.regexp_count(body, F.lit(f"[{SPACE_CLASS}]")),
+        "n_symbols": F.regexp_count(body, F.lit(f"[{SYMBOLS}]")),
         "n_dup_lines": F.size(col["lines"]) - F.size(F.array_distinct(col["lines"])),
         "n_repeat_words": covered,
         "n_lines": F.size(col["lines"]),
         "n_distinct_words": F.size(F.array_distinct(col["hash"])),
-        "n_upper": F.length(body) - F.length(F.translate(body, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")),
-        "n_exclaims": F.length(body) - F.length(F.translate(body, "!", "")),
-        "n_stops": F.length(body) - F.length(F.translate(body, ".,;:?", "")),
+        "n_upper": F.regexp_count(body, F.lit("[A-Z]")),
+        "n_exclaims": F.length(body) - F.length(F.replace(body, F.lit("!"), F.lit(""))),
+        "n_stops": F.regexp_count(body, F.lit("[.,;:?]")),
     }
     return out.select(*df.columns, *[made[c].cast("long").alias(names[c]) for c in FEATURES])
 
