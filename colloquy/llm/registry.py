@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, quality_rules, simhash
+from . import decontaminate, html_text, packing, quality_rules, simhash, urls
 
-_MODULES = (decontaminate, packing, quality_rules, simhash)
+_MODULES = (decontaminate, html_text, packing, quality_rules, simhash, urls)
 
 QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
