@@ -1,4 +1,9 @@
-"""Benchmark decontamination by winnowed fingerprints. DataFrame and SQL functions only."""
+"""Benchmark decontamination by winnowed fingerprints. DataFrame and SQL functions only.
+
+Arrays that are computed in the same plan are exploded with `explode_outer`: for `explode` the
+optimizer infers a filter on the array's size, and pushing it below the projections that make the
+array copies their expressions, over and over.
+"""
 
 from __future__ import annotations
 
@@ -98,12 +103,12 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: st
     sizes = items.select(count_words(F.col("body")).alias("n")).filter(F.col("n").between(1, SPAN - 1)).distinct()
     short = sorted(r.n for r in sizes.collect())  # nine numbers at most
     item_spans = spans(items.withColumn("n", count_words(F.col("body"))), F.col("body"), "spans", short)
-    item_spans = item_spans.select("item", "n", F.explode("spans").alias("s")).filter((F.col("s.len") == SPAN) | (F.col("s.len") == F.col("n")))
+    item_spans = item_spans.select("item", "n", F.explode_outer("spans").alias("s")).filter((F.col("s.len") == SPAN) | (F.col("s.len") == F.col("n")))
     item_spans = materialize(item_spans.select("item", F.col("s.len").alias("len"), F.col("s.h").alias("h")).distinct(), "decon-spans")
 
     # 1. Fingerprints: which documents share one with the benchmark.
     n = _names(docs)
-    marks = fingerprints(items.select("body"), F.col("body"), "fp").select(F.explode("fp").alias("fp"))
+    marks = fingerprints(items.select("body"), F.col("body"), "fp").select(F.explode_outer("fp").alias("fp")).filter("fp is not null")
     marks = marks.unionByName(item_spans.filter(F.col("len") < SPAN).select(F.col("h").alias("fp"))).distinct()
     marks = broadcast_if_small(materialize(marks, "decon-marks"), BROADCAST_SPANS)
     printed = fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("body")), F.col("body"), "fp")
@@ -111,7 +116,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: st
         printed = spans(printed, F.col("body"), "more", short)
         more = F.transform(F.filter("more", lambda s: s["len"] < SPAN), lambda s: s["h"])
         printed = printed.withColumn("fp", F.concat("fp", more))
-    hit = printed.select("id", F.explode("fp").alias("fp")).join(marks, "fp", "left_semi").select("id").distinct()
+    hit = printed.select("id", F.explode_outer("fp").alias("fp")).join(marks, "fp", "left_semi").select("id").distinct()
     hit = materialize(hit.withColumn("hit", F.lit(True)), "decon-hits")
 
     # 2. All documents; those hit with their spans.
