@@ -11,9 +11,13 @@ import numpy as np
 
 #: Bytes of text tokenized at once; a longer text is cut at white space.
 BATCH_BYTES = 2 << 20
-#: Words, and bytes of words, whose ids are remembered before the memory is emptied.
-MEMORY_WORDS = 300_000
-MEMORY_BYTES = 32 << 20
+#: Distinct words, and bytes of them, that are remembered; beyond, those met once are forgotten.
+MEMORY_WORDS = 400_000
+MEMORY_BYTES = 16 << 20
+#: Words in one request to the tokenizer.
+JOINED = 64
+#: Marks that such a tokenizer parts from letters before them.
+MARKS = ".,;:!?"
 
 
 def default_tokenizer() -> str:
@@ -26,8 +30,9 @@ def default_tokenizer() -> str:
 class WordTokenizer:
     """Ids of texts by a `tokenizers` file whose rules never join what white space parts.
 
-    Such a tokenizer (it drops white space before it looks for pieces) gives a text the ids of its
-    white-space-free runs in order, so each distinct run is encoded once and remembered.
+    Such a tokenizer (it drops white space, and parts letters from marks, before it looks for pieces)
+    gives a text the ids of its white-space-free runs in order, so each distinct run is encoded once
+    and remembered.
     """
 
     def __init__(self, path: str) -> None:
@@ -35,41 +40,99 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        self._is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
         self._place: dict[bytes, int] = {}
-        self._bytes = 0
         self._ids = np.zeros(0, np.uint32)
         self._starts = np.zeros(0, np.int64)
         self._lengths = np.zeros(0, np.int64)
+        self._uses = np.zeros(0, np.int64)
+        self._bytes = 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        ids = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        starts = len(self._ids) + np.cumsum(lengths) - lengths
+    def _trim(self) -> None:
+        """Keeps the words met more than once since the last time, unless they are most of them."""
+        keep = [(w, i) for w, i in self._place.items() if self._uses[i] > 1]
+        lengths, at = self._lengths, np.array([i for _, i in keep], np.int64)
+        ids = self._gather(at)
+        self._forget()
+        if 2 * len(keep) < MEMORY_WORDS and 2 * sum(len(w) for w, _ in keep) < MEMORY_BYTES:
+            self._store([w for w, _ in keep], ids, lengths[at])
+
+    def _store(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
         first = len(self._lengths)
         self._place.update(zip(words, range(first, first + len(words)), strict=True))
-        self._ids = np.concatenate((self._ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))))
-        self._starts = np.concatenate((self._starts, starts))
+        self._starts = np.concatenate((self._starts, len(self._ids) + np.cumsum(lengths) - lengths))
+        self._ids = np.concatenate((self._ids, ids))
         self._lengths = np.concatenate((self._lengths, lengths))
+        self._uses = np.concatenate((self._uses, np.zeros(len(words), np.int64)))
+        self._bytes += sum(map(len, words))
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of remembered words, one after the other."""
+        lengths = self._lengths[at]
+        ends = np.cumsum(lengths)
+        return self._ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self._starts[at] - ends + lengths, lengths)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encodes new words. Letters with marks after them are the ids of both, so only the letters
+        need the tokenizer, and each of them once."""
+        texts = b"\n".join(words).decode("utf-8", "replace").split("\n")
+        stems = [t.rstrip(MARKS) for t in texts]
+        parts: list[bytes] = []
+        for word, text, stem in zip(words, texts, stems, strict=True):
+            if stem.isalpha():
+                left = len(text) - len(stem)
+                parts += (word[:-left].lower(), word[-left:]) if left else (word.lower(), b"")
+            else:
+                parts += (word, b"")
+        new = list(set(parts).difference(self._place))
+        if new:
+            self._store(new, *self._ask(new))
+        at = np.fromiter(map(self._place.__getitem__, parts), np.int64, len(parts))
+        rest = [i for i, w in enumerate(words) if w not in self._place]
+        if rest:
+            at = at.reshape(-1, 2)[rest]
+            self._store([words[i] for i in rest], self._gather(at.ravel()), self._lengths[at].sum(axis=1))
+
+    def _ask(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number of each word, of the tokenizer. Many words of letters only are one
+        request; as such a word is one word to the tokenizer, the id of its end ends it."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = [i for i, t in enumerate(texts) if t.isalpha() and len(t) < 64]
+        other = sorted(set(range(len(texts))).difference(plain))
+        rows = [" ".join([texts[i] for i in plain[k : k + JOINED]]) for k in range(0, len(plain), JOINED)]
+        found = self._tokenizer.encode_batch_fast(rows, add_special_tokens=False)
+        ids = np.array(list(chain.from_iterable(e.ids for e in found)), np.int64)
+        ends = np.flatnonzero(self._is_end[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
+        if len(ends) != len(plain):
+            raise ValueError("this vocabulary does not mark the ends of words")
+        found = self._tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False)
+        lists = [e.ids for e in found]
+        lengths = np.concatenate((np.diff(ends, prepend=0), np.fromiter(map(len, lists), np.int64, len(lists)))).astype(np.int64)
+        all_ids = np.concatenate((ids, np.array(list(chain.from_iterable(lists)), np.int64))).astype(np.uint32)
+        # From "plain, then other" back to the order of the words.
+        back = np.argsort(np.array(plain + other, np.int64), kind="stable")
+        starts = (np.cumsum(lengths) - lengths)[back]
+        lengths = lengths[back]
+        stops = np.cumsum(lengths)
+        return all_ids[np.arange(stops[-1]) + np.repeat(starts - stops + lengths, lengths)], lengths
 
     def _encode(self, bodies: list[bytes]) -> Iterator[np.ndarray]:
         split = [b.split() for b in bodies]
         words = list(chain.from_iterable(split))
-        distinct = set(words)
-        if len(self._place) + len(distinct) > MEMORY_WORDS or self._bytes > MEMORY_BYTES:
-            self._forget()
-        new = sorted(distinct.difference(self._place))
+        if len(self._place) > MEMORY_WORDS or self._bytes > MEMORY_BYTES:
+            self._trim()
+        new = list(set(words).difference(self._place))
         if new:
             self._learn(new)
-            self._bytes += sum(map(len, new))
         at = np.fromiter(map(self._place.__getitem__, words), np.int64, len(words))
-        lengths = self._lengths[at]
-        ends = np.cumsum(lengths)
-        ids = self._ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self._starts[at] - ends + lengths, lengths)]
-        bounds = np.concatenate(([0], ends))[np.cumsum([0, *map(len, split)])]
+        self._uses += np.bincount(at, minlength=len(self._uses))
+        ids = self._gather(at)
+        bounds = np.concatenate(([0], np.cumsum(self._lengths[at])))[np.cumsum([0, *map(len, split)])]
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             yield ids[a:b]
 
