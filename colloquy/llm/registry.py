@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, packing, quality_classifier, quality_rules, simhash, urls, warc
+from . import decontaminate, html_text, packing, quality_classifier, quality_rules, simhash, training_order, urls, warc
 
-_MODULES = (decontaminate, html_text, packing, quality_classifier, quality_rules, simhash, urls, warc)
+_MODULES = (decontaminate, html_text, packing, quality_classifier, quality_rules, simhash, training_order, urls, warc)
 
 QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
