@@ -13,6 +13,8 @@ LISTED = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "
 
 #: Rules hold on at least this share of the labelled urls, and on at least this share of those with their tokens.
 MIN_SUPPORT = 0.002
+#: And on at least this many rows, so that a few labels make no rule by chance.
+MIN_ROWS = 30
 MIN_CONFIDENCE = 0.6
 #: The item that stands for a bad label; no url token looks like it.
 BAD = "!bad"
@@ -62,9 +64,10 @@ def url_tokens(url: Column) -> Column:
     )
 
 
-def mine_rules(labelled: DataFrame, tokens: str, bad: str, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mine_rules(labelled: DataFrame, tokens: str, bad: str, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS) -> DataFrame:
     """Rules `rule_id`, `tokens` (an array), `confidence`, `support`: sets of tokens of which urls are
-    bad with at least `min_confidence`, and occur and are bad on at least `min_support` of the rows.
+    bad with at least `min_confidence`, and occur and are bad on at least `min_support` of the rows
+    and on `min_rows` rows.
 
     labelled: an array column of distinct strings and a boolean; rows with a null in either are left
     out. FP-growth mines the sets. A rule is dropped if one with fewer of its tokens is at least as
@@ -79,7 +82,10 @@ def mine_rules(labelled: DataFrame, tokens: str, bad: str, min_support: float =
     schema = "rule_id long, tokens array<string>, confidence double, support double"
     if not counts["bad"]:
         return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    support = max(min_support, min_rows / counts["n"])
+    if support > 1:
+        return spark.createDataFrame([], schema)
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.filter(F.array_contains("consequent", BAD))
     rules = materialize(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "url-rules")
     rules = rules.withColumn("rule_id", F.xxhash64(F.array_join("tokens", " ")))
@@ -109,7 +115,7 @@ def match_rules(rows: DataFrame, key: str, tokens: str, rules: DataFrame) -> Dat
     return fitting.groupBy(key).agg(best["rule"].alias("mined"))
 
 
-def judge_urls(pages: DataFrame, url: str, labelled: DataFrame, keep: list[str], listed: tuple[tuple[str, str, str], ...] = LISTED, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def judge_urls(pages: DataFrame, url: str, labelled: DataFrame, keep: list[str], listed: tuple[tuple[str, str, str], ...] = LISTED, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS) -> DataFrame:
     """`keep` columns of every row of `pages`, with `host`, `path`, `rule` (the listed rule or null),
     `verdict` (that rule's; else `block` if a mined rule fits; else `allow`) and `mined` (null if none).
 
@@ -120,7 +126,7 @@ def judge_urls(pages: DataFrame, url: str, labelled: DataFrame, keep: list[str],
     if clash := {c.lower() for c in keep} & {"host", "path", "rule", "verdict", "mined"}:
         raise ValueError(f"keep may not hold {sorted(clash)}")
     baskets = labelled.select(url_tokens(F.col("url")).alias("tokens"), F.col("bad").alias("bad"))
-    rules = mine_rules(baskets, "tokens", "bad", min_support, min_confidence)
+    rules = mine_rules(baskets, "tokens", "bad", min_support, min_confidence, min_rows)
     u = fresh_name(keep, "_url")
     rows = pages.select(*keep, F.col(url).alias(u))
     if rules.isEmpty():

@@ -57,7 +57,7 @@ def test_mined_rules_equal_brute_force(spark):
             hits = [b for s, b in sets if c <= s]
             if hits and sum(hits) >= 0.05 * len(sets) and sum(hits) / len(hits) >= 0.6 and not any(p < c and want[p] >= sum(hits) / len(hits) for p in want):
                 want[c] = sum(hits) / len(hits)
-    got = {frozenset(r.tokens): r.confidence for r in urls.mine_rules(df, "tokens", "bad", 0.05, 0.6).collect()}
+    got = {frozenset(r.tokens): r.confidence for r in urls.mine_rules(df, "tokens", "bad", 0.05, 0.6, 1).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
@@ -65,8 +65,16 @@ def test_mined_rules_equal_brute_force(spark):
 def test_mined_rules_block_only_the_combination(spark):
     rows = planted()
     pages = spark.createDataFrame([(i, u, "q") for i, (u, _) in enumerate(rows)] + [(5, rows[5][0], "q"), (None, None, None)], "page_id long, url string, tokens string")
-    got = urls.judge_urls(pages, "url", spark.createDataFrame(rows, "url string, bad boolean"), ["page_id", "tokens"], listed=(), min_support=0.02).collect()
+    got = urls.judge_urls(pages, "url", spark.createDataFrame(rows, "url string, bad boolean"), ["page_id", "tokens"], listed=(), min_support=0.02, min_rows=5).collect()
     assert len(got) == len(rows) + 2
     for r in got:
         url = "" if r.page_id is None else rows[r.page_id][0]
         assert (r.verdict == "block") == (r.mined is not None) == url.startswith("https://a.shop.test/win/")
+
+
+def test_few_labels_make_no_rule(spark):
+    r = random.Random(1)
+    rows = [(f"http://h{i % 7}.test/{i % 5}/{i}", r.random() < 0.25) for i in range(300)]
+    pages = spark.createDataFrame([(u,) for u, _ in rows], "url string")
+    got = urls.judge_urls(pages, "url", spark.createDataFrame(rows, "url string, bad boolean"), [], listed=())
+    assert got.filter("verdict = 'block'").count() == 0
