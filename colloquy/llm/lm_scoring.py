@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import IO
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,6 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import shared_files
@@ -23,7 +23,12 @@ ALPHA = 0.1
 #: Pseudo-count of the unigram distribution in each state (Dirichlet smoothing).
 MU = 40.0
 #: Tokens after which a partition's documents are a block of their own, which bounds a task's memory.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 4_500_000
+#: Tokens looked up at once.
+SLICE = 1 << 19
+#: Bytes of input for each range of keys, and the most ranges: a task holds the counts of one range.
+RANGE_BYTES = 5 << 20
+MOST_RANGES = 8192
 BLOCKS = 1 << 20
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -76,14 +81,18 @@ class BackoffAutomaton:
         the pass carries are the words one place before."""
         if not len(words):
             return np.zeros(len(starts))
-        states = np.concatenate(([self.ROOT], words[:-1]))
+        states = np.concatenate((np.array([self.ROOT], words.dtype), words[:-1]))
         states[starts] = self.ROOT
-        codes = states * len(self.root) + words
-        at = np.minimum(np.searchsorted(self.arcs, codes), max(0, len(self.arcs) - 1))
-        weight = self.root[words] + np.where(states == self.ROOT, 0.0, self.fail[states])
-        if len(self.arcs):
-            has_arc = (self.arcs[at] == codes) & (states != self.ROOT)
-            weight[has_arc] = self.weights[at[has_arc]]
+        weight = np.empty(len(words))
+        for at in range(0, len(words), SLICE):
+            state, word = states[at : at + SLICE].astype(np.int64), words[at : at + SLICE]
+            found = self.root[word] + np.where(state == self.ROOT, 0.0, self.fail[state])
+            if len(self.arcs):
+                code = state * len(self.root) + word
+                place = np.minimum(np.searchsorted(self.arcs, code), len(self.arcs) - 1)
+                has_arc = (self.arcs[place] == code) & (state != self.ROOT)
+                found[has_arc] = self.weights[place[has_arc]]
+            weight[at : at + SLICE] = found
         return np.add.reduceat(weight, starts)
 
 
@@ -97,27 +106,33 @@ class Block:
     starts: np.ndarray
     hashes: np.ndarray
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct codes of pairs within texts, and for each place (but the last) which pair it
-        begins, -1 at the ends of texts."""
-        n = len(self.hashes)
-        inside = np.ones(max(0, len(self.words) - 1), bool)
+    def pairs(self, train: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct codes of the pairs within texts, and how often each begins at a place
+        where `train` is true (nowhere without it)."""
+        codes = self.words[:-1].astype(np.int64)
+        codes *= len(self.hashes)
+        codes += self.words[1:]
+        codes <<= 1
+        if train is not None:
+            codes |= train[:-1]
+        inside = np.ones(len(codes), bool)
         inside[self.starts[1:] - 1] = False
-        codes = (self.words[:-1].astype(np.int64) * n + self.words[1:])[inside]
-        distinct, which = np.unique(codes, return_inverse=True)
-        out = np.full(len(inside), -1, np.int64)
-        out[inside] = which
-        return distinct, out
+        codes = codes[inside]
+        codes.sort()
+        marks = (codes & 1).astype(np.int32)
+        codes >>= 1
+        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        return codes[first], np.add.reduceat(marks, first) if len(first) else marks
 
     def keys(self, pairs: np.ndarray) -> np.ndarray:
-        """64-bit keys of all words, then of the pairs; even for words, odd for pairs."""
+        """Unsigned 64-bit keys of all words, then of the pairs; even for words, odd for pairs."""
         n = len(self.hashes)
         one = np.uint64(1)
         with np.errstate(over="ignore"):
             mixed = self.hashes[pairs // n] * np.uint64(0x9E3779B97F4A7C15) ^ (self.hashes[pairs % n] + np.uint64(0x632BE59BD9B4E019))
             mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             mixed ^= mixed >> np.uint64(32)
-        return np.concatenate((self.hashes & ~one, mixed | one)).view(np.int64)
+        return np.concatenate((self.hashes & ~one, mixed | one))
 
 
 def blocks(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[Block]:
@@ -135,9 +150,10 @@ def blocks(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[Block]:
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             split = (text.as_py() or b"").lower().split()
-            found = np.empty(len(split) + 1, np.int64)
-            found[:-1] = [known.setdefault(w, len(known)) for w in split]
-            found[-1] = 0
+            new = set(split).difference(known)
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            found = np.zeros(len(split) + 1, np.int32)
+            found[:-1] = np.fromiter(map(known.__getitem__, split), np.int32, len(split))
             ids.append(doc)
             words.append(found)
             size += len(found)
@@ -148,31 +164,85 @@ def blocks(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[Block]:
         yield block()
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every word and pair of every block, with its count in the block's training documents."""
+def pack_counts(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys and their counts, small: differences and counts by planes of bytes, compressed."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    planes = [a.astype(k).view(np.uint8).reshape(len(a), 8).T.tobytes() for a, k in ((steps, "<u8"), (counts, "<u8"))]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    both = raw.reshape(2, 8, -1).transpose(0, 2, 1).copy().view("<u8")[..., 0]
+    return np.cumsum(both[0], dtype=np.uint64), both[1].astype(np.int64)
+
+
+def _ranges(docs: DataFrame) -> int:
+    """Ranges of keys for a table, of its size as the optimizer knows it."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 64 if size > 1 << 55 else max(4, min(MOST_RANGES, -(-size // RANGE_BYTES)))
+
+
+def _range_starts(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each of `ranges` equal parts of all 64-bit keys begins and ends in sorted keys."""
+    edges = np.array([(i << 64) // ranges for i in range(ranges)], np.uint64)
+    return np.append(np.searchsorted(keys, edges), len(keys))
+
+
+def _count(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """Every word and pair of every block with its count in the block's training documents, packed by
+    range of keys."""
     for block in blocks(batches, TaskContext.get().partitionId()):
         train = np.repeat([not is_held_out(i) for i in block.ids], np.diff(np.append(block.starts, len(block.words))))
-        pairs, at = block.pairs()
-        of_pairs = np.bincount(at[(at >= 0) & train[:-1]], minlength=len(pairs))
+        pairs, of_pairs = block.pairs(train)
         of_words = np.bincount(block.words[train], minlength=len(block.hashes))
-        keys, counts = block.keys(pairs), np.concatenate((of_words, of_pairs)).astype(np.int32)
-        for a in range(0, len(keys), 100_000):
-            part = slice(a, a + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(np.full(len(keys[part]), block.number)), pa.array(counts[part])], names=["key", "block", "n"])
+        keys, counts = block.keys(pairs), np.concatenate((of_words, of_pairs))
+        del pairs, of_pairs, train
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        cuts = _range_starts(keys, ranges)
+        packed = [pack_counts(keys[a:b], counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array([block.number] * ranges, pa.int64()), pa.array(packed, pa.binary())], names=["part", "block", "counts"])
+
+
+def _sum_range(key: tuple, table: pa.Table) -> pa.Table:
+    """Gives every block the sums of its own keys of one range, in the order of the keys; with the
+    first also the words (even keys) that were seen, and how often."""
+    numbers = table.column("block").to_pylist()
+    parts = [unpack_counts(x.as_py()) for x in table.column("counts")]
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    sums = np.zeros(len(keys), np.int64)
+    np.add.at(sums, at, np.concatenate([n for _, n in parts]))
+    of_words = sums[keys % np.uint64(2) == 0]
+    totals, start = [], 0
+    for k, _ in parts:
+        totals.append(zstandard.ZstdCompressor(level=1).compress(sums[at[start : start + len(k)]].astype("<i8").view(np.uint8).reshape(len(k), 8).T.tobytes()))
+        start += len(k)
+    rest = [0] * (len(numbers) - 1)
+    columns = [[key[0].as_py()] * len(numbers), numbers, totals, [int((of_words > 0).sum()), *rest], [int(of_words.sum()), *rest]]
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "block", "totals", "kinds", "tokens"])
 
 
 def _file(number: int) -> str:
     return f"block-{number:013d}.zst"
 
 
+def _read_totals(stream: IO[bytes]) -> Iterator[np.ndarray]:
+    while head := stream.read(8):
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(stream.read(int.from_bytes(head, "little"))), np.uint8)
+        yield raw.reshape(8, -1).T.copy().view("<i8")[:, 0]
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mu: float = MU) -> DataFrame:
     """One row per row of `docs` (columns: SCORES): tokens, tokens seen in training, the base score
     and the automaton's, both log10 probabilities of the whole text with its end.
 
     The model is learnt from all documents that are not held out. It is as large as they are, and
-    never in one place: words and pairs are counted block by block, the counts of each are summed
-    by its key, and each block gets back, as a file in the shared folder, the sums of its own words
-    and pairs, from which its task builds the part of the automaton that its texts can reach.
+    never in one place: words and pairs are counted block by block, the counts are summed range by
+    range of their keys, and each block gets back, as a file in the shared folder, the sums of its
+    own words and pairs, from which its task builds the part of the automaton that its texts can
+    reach.
 
     `docs` is read twice and its partitions must be the same both times, as those of files are; a
     block that differs fails the job. Null and blank texts are an end alone. Null ids count as held
@@ -181,44 +251,34 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     folder = fresh_path(docs.sparkSession, "lm")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"))
-    counted = rows.mapInArrow(_count, "key long, block long, n int")
-    by_key = W.partitionBy("key")
-    own = (F.col("block") == F.min("block").over(by_key)) & (F.col("key") % 2 == 0)
-    summed = counted.select("key", "block", F.sum("n").over(by_key).alias("total"), own.alias("own"))
+    ranges = _ranges(docs)
+    counted = rows.mapInArrow(lambda batches: _count(batches, ranges), "part int, block long, counts binary")
+    summed = counted.groupBy("part").applyInArrow(_sum_range, "part int, block long, totals binary, kinds long, tokens long")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        done: list[tuple[int, int, int]] = []
-
-        def close(number: int) -> None:
-            table = pa.Table.from_batches(held)
-            keys, totals, first = (table.column(c).to_numpy() for c in ("key", "total", "own"))
-            out = shared_files.Committed(folder, _file(number))
-            check = np.bitwise_xor.reduce(keys)
-            out.stream.write(zstandard.ZstdCompressor(level=1).compress(np.concatenate(([check], totals)).astype("<i8").tobytes()))
-            out.commit()
-            held.clear()
-            mine = totals[first.astype(bool)]
-            done.append((number, int((mine > 0).sum()), int(mine.sum())))
-
-        now = None
-        for batch in batches:
-            numbers = batch.column(0).to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if a == b:
-                    continue
-                if held and numbers[a] != now:
-                    close(now)
-                now = int(numbers[a])
-                held.append(batch.slice(a, b - a))
-        if held:
-            close(now)
-        columns = list(zip(*done, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["block", "kinds", "tokens"])
-
-    files = summed.select("block", "key", "total", "own").repartition("block").sortWithinPartitions("block", "key")
-    files.mapInArrow(store, "block long, kinds long, tokens long").write.parquet(f"{folder}/_blocks")
+        out, now = None, None
+        kinds = tokens = count = 0
+        try:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if row["block"] != now:
+                        if out is not None:
+                            out.commit()
+                        now = row["block"]
+                        out = shared_files.Committed(folder, _file(now))
+                        count += 1
+                    out.stream.write(len(row["totals"]).to_bytes(8, "little") + row["totals"])
+                    kinds, tokens = kinds + row["kinds"], tokens + row["tokens"]
+            if out is not None:
+                out.commit()
+        except BaseException:
+            if out is not None:
+                out.abort()
+            raise
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (count, kinds, tokens)], names=["blocks", "kinds", "tokens"])
+
+    files = summed.repartition("block").sortWithinPartitions("block", "part")
+    files.mapInArrow(store, "blocks long, kinds long, tokens long").write.parquet(f"{folder}/_blocks")
     of_all = docs.sparkSession.read.parquet(f"{folder}/_blocks").agg(F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens")).first()
     kinds, tokens = of_all.kinds or 0, of_all.tokens or 0
 
@@ -227,12 +287,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         for block in blocks(batches, TaskContext.get().partitionId()):
             pairs, _ = block.pairs()
             keys = block.keys(pairs)
+            order = np.argsort(keys, kind="stable")
             with source.open_input_stream(f"{root}/{_file(block.number)}", compression=None) as f:
-                found = np.frombuffer(zstandard.ZstdDecompressor().decompress(f.read()), "<i8")
-            if len(found) != len(keys) + 1 or found[0] != np.bitwise_xor.reduce(keys):
+                found = np.concatenate(list(_read_totals(f)))
+            if len(found) != len(keys):
                 raise RuntimeError(f"block {block.number} differs from the one that was counted: the input's partitions changed")
             totals = np.empty(len(keys), np.int64)
-            totals[np.argsort(keys, kind="stable")] = found[1:]
+            totals[order] = found
+            del keys, order, found
             n = len(block.hashes)
             model = BackoffAutomaton.of_counts(totals[:n], pairs, totals[n:], tokens, kinds, mu)
             known = np.add.reduceat((totals[:n] > 0)[block.words].astype(np.int64), block.starts)

@@ -87,6 +87,17 @@ def test_automaton_is_a_distribution_and_steps_like_it_traverses():
     assert model.traverse(words, starts) == pytest.approx(want)
 
 
+def test_packed_counts():
+    r = np.random.RandomState(3)
+    keys = np.unique(r.randint(0, 1 << 62, 500).astype(np.uint64) * np.uint64(3))
+    counts = r.randint(0, 1 << 40, len(keys))
+    for k, n in ((keys, counts), (keys[:0], counts[:0])):
+        a, b = lm.unpack_counts(lm.pack_counts(k, n))
+        assert (a == k).all() and (b == n).all()
+    cuts = lm._range_starts(keys, 7)
+    assert cuts[0] == 0 and cuts[-1] == len(keys) and (np.diff(cuts) >= 0).all()
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
     assert lm.score_documents(spark.read.schema("doc_id long, text string").parquet(str(tmp_path / "docs"))).collect() == []
