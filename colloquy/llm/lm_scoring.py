@@ -21,7 +21,7 @@ from .common import fresh_path, read_table
 #: Pseudo-count of every unigram.
 ALPHA = 0.1
 #: Pseudo-count of the unigram distribution in each state (Dirichlet smoothing).
-MU = 40.0
+MU = 150.0
 #: Tokens after which a partition's documents are a block of their own, which bounds a task's memory.
 BLOCK_TOKENS = 4_500_000
 #: Tokens looked up at once.
