@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_name, materialize, read_table
+from .common import fresh_name, materialize, read_table, small_enough
 
 #: The bound of the fitting sample: rated rows, those with the least hash of their id. Everything is scored.
 SAMPLE_ROWS = 8_000
@@ -167,8 +167,8 @@ def fit_arrays(buckets: list[np.ndarray], grades: np.ndarray, n_grades: int, min
 
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> OrdinalModel:
     """Fits on at most `sample_rows` rated rows. ratings: `id`, `grade` (0 to n_grades - 1); null ids
-    and grades are left out, of several grades of an id the least counts. Texts stay on the
-    executors; the driver gets the bucket numbers of the sample."""
+    and grades are left out, of several grades of an id the least counts. Texts and the
+    features that tell nothing stay on the executors; the driver gets the sample's other ones."""
     rated = ratings.filter("id is not null and grade is not null").groupBy("id").agg(F.min("grade").cast("int").alias("grade"))
     sample = rated.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     sample = F.broadcast(materialize(sample, "classifier-sample"))
@@ -180,16 +180,38 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_i
             found = [sorted(features.of(x.as_py())) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["grade", "buckets"])
 
-    found = rows.mapInArrow(run, "grade int, buckets array<int>").limit(sample_rows).toArrow().combine_chunks()
-    grades = found.column("grade").to_numpy().astype(np.int64)
-    lists = pa.concat_arrays(found.column("buckets").chunks) if len(grades) else pa.array([], pa.list_(pa.int32()))
-    flat, ends = lists.flatten().to_numpy().astype(np.int64), lists.offsets.to_numpy()
-    buckets = [flat[a - ends[0] : b - ends[0]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    held = materialize(rows.mapInArrow(run, "grade int, buckets array<int>"), "classifier-features")
+    if not small_enough(held, sample_rows):  # repeated ids
+        held = materialize(held.limit(sample_rows), "classifier-features")
+    of = {r.grade: r["count"] for r in held.groupBy("grade").count().collect()}
+    telling = np.array(sorted(r.bucket for r in telling_features(held, [of.get(k, 0) for k in range(n_grades)]).collect()), np.int32)
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.intersect1d(x.values.to_numpy(), telling) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["grade", "buckets"])
+
+    small = held.mapInArrow(select, "grade int, buckets array<int>").toArrow().to_pydict()
+    buckets = [np.array(x, np.int64) for x in small["buckets"]]
+    grades = np.array(small["grade"], np.int64)
     # The order of collected rows is the executors'; the sums should not depend on it.
     order = sorted(range(len(grades)), key=lambda i: (grades[i], buckets[i].tolist()))
     return fit_arrays([buckets[i] for i in order], grades[order], n_grades)
 
 
+def telling_features(held: DataFrame, of: list[int]) -> DataFrame:
+    """`bucket` of the features that are worth a weight: in MIN_TEXTS texts and with MIN_ASSOCIATION,
+    see `_association`. held: `grade`, `buckets`; of: texts of each grade."""
+    total = max(1, sum(of))
+    seen = [F.count_if(F.col("grade") == k).alias(f"n{k}") for k in range(len(of))]
+    counts = held.select("grade", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), *seen).filter(F.col("n") >= MIN_TEXTS)
+    statistic = F.lit(0.0)
+    for k, all_k in enumerate(of):
+        for part, of_part in ((F.col(f"n{k}"), F.col("n")), (all_k - F.col(f"n{k}"), total - F.col("n"))):
+            statistic = statistic + F.when(part > 0, 2 * part * F.log(part * total / (of_part * F.lit(float(all_k or 1))))).otherwise(0.0)
+    return counts.filter(statistic >= MIN_ASSOCIATION).select("bucket")
+
+
 def add_grades(docs: DataFrame, model: OrdinalModel, text: str, expected: str, tail: str) -> DataFrame:
     """`docs` with the expected grade and the probability of the highest grade of each text. Null and
     blank texts have the one feature `empty`."""

@@ -37,6 +37,18 @@ def test_tails_are_ordered_and_bounded():
     assert (np.diff(tails, axis=1) <= 0).all() and (tails >= 0).all() and (tails <= 1).all()
 
 
+def test_selection_is_the_same_in_both_places(spark):
+    r = random.Random(8)
+    buckets = [np.array(sorted(r.sample(range(40), 8))) for _ in range(300)]
+    grades = np.array([int(3 in b) + int(7 in b) for b in buckets])
+    held = spark.createDataFrame([(int(g), b.tolist()) for g, b in zip(grades, buckets, strict=True)], "grade int, buckets array<int>")
+    got = {x.bucket for x in qc.telling_features(held, [int((grades == k).sum()) for k in range(3)]).collect()}
+    rows = np.repeat(np.arange(300), 8)
+    names, at = np.unique(np.concatenate(buckets), return_inverse=True)
+    want = names[qc._association(at, rows, grades, len(names), 3) >= qc.MIN_ASSOCIATION]
+    assert got == set(want.tolist()) and {3, 7} <= got
+
+
 def test_fit_does_not_depend_on_row_order():
     r = random.Random(3)
     buckets = [np.array(sorted(r.sample(range(50), 8))) for _ in range(200)]
