@@ -17,11 +17,19 @@ CANDIDATES = 400
 def ground_quotes(models: DataFrame, utterances: DataFrame, autojunk: bool = True, candidates: int | None = CANDIDATES) -> DataFrame:
     """`id`, `score`, `grounded` of the models with a quote: the best share of it that one utterance
     holds. Candidates are the utterances with one of its two rarest tokens, the first `candidates` of
-    each by utterance (None: all). Scores are computed for candidates only."""
+    each by utterance. Scores are computed for candidates only.
+
+    candidates None: all utterances with one of the two rarest of all tokens, made as the index makes
+    them. The outer tokens of a quote may be parts of longer ones and count only where there are no
+    others, so an utterance that holds the whole quote is always a candidate."""
     quoted = models.filter("trim(coalesce(quote, '')) <> ''").select("id", t.strip(F.col("quote")).alias("quote"))
     quoted = quoted.withColumn("parts", F.transform(t.fragments(F.col("quote")), t.bare))
     index = search.token_index(utterances, "utt_id", ["speaker", "text"])
-    wanted = quoted.select("id", F.explode_outer(t.longest_tokens(F.col("quote"))).alias("said")).filter("said is not null")
+    said = t.longest_tokens(F.col("quote"))
+    if candidates is None:
+        every = t.tokens(F.col("quote"))
+        said = F.array_distinct(F.when(F.size(every) > 2, F.slice(every, 2, F.greatest(F.size(every) - 2, F.lit(0)))).otherwise(every))
+    wanted = quoted.select("id", F.explode_outer(said).alias("said")).filter("said is not null")
     wanted = wanted.withColumn("token", F.lower("said"))
     needed = index.join(wanted.select("token").distinct(), "token", "left_semi").select("token", "utt_id").distinct()
     counts = needed.groupBy("token").agg(F.count("*").alias("n"))

@@ -295,7 +295,7 @@ def quote_grounding_lcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages grounded in turns and documents by their longest common part, frequent characters kept."""
     models = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("quote"))
     said = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("utt_id"), F.lit("").alias("speaker"), "text")
-    return grounding.ground_quotes(models, said, autojunk=False).withColumn("score", F.round("score", 6))
+    return grounding.ground_quotes(models, said, autojunk=False, candidates=None).withColumn("score", F.round("score", 6))
 
 
 def _flat(c: str) -> Column:
