@@ -72,7 +72,9 @@ def match_meetings(meetings: DataFrame, catalog: DataFrame, similar_at: float =
     if it is alike enough; of equal ones the first. catalog: `pos`, `date`, `title`, `source_id`, `path`."""
     entries = catalog.select(F.col("pos").alias("c_pos"), F.coalesce("date", F.lit("")).alias("date"), t.slug(F.col("title")).alias("c_slug"), F.struct("source_id", "path").alias("found"))
     open_ones = meetings.filter(F.coalesce("source_id", F.lit("")) == "").select("pos", F.coalesce("date", F.lit("")).alias("date"), t.slug(F.coalesce("title", F.lit(""))).alias("slug"))
-    tried = open_ones.join(entries, "date").withColumn("score", t.similarity(F.col("slug"), F.col("c_slug")))
-    best = tried.withColumn("r", F.row_number().over(W.partitionBy("pos").orderBy(F.desc("score"), "c_pos"))).filter((F.col("r") == 1) & (F.col("score") >= similar_at))
-    out = meetings.join(best.select("pos", "found"), "pos", "left")
+    # Equal titles of a date are scored once, for the first entry that has them.
+    entries = entries.groupBy("date", "c_slug").agg(F.min(F.struct("c_pos", "found")).alias("e")).select("date", "c_slug", "e.c_pos", "e.found")
+    tried = open_ones.select("date", "slug").distinct().join(entries, "date").withColumn("score", t.similarity(F.col("slug"), F.col("c_slug")))
+    best = tried.withColumn("r", F.row_number().over(W.partitionBy("date", "slug").orderBy(F.desc("score"), "c_pos"))).filter((F.col("r") == 1) & (F.col("score") >= similar_at))
+    out = meetings.join(open_ones.join(best.select("date", "slug", "found"), ["date", "slug"]).select("pos", "found"), "pos", "left")
     return out.withColumns({c: F.coalesce(f"found.{c}", c) for c in ("source_id", "path")}).drop("found")

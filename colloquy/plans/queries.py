@@ -382,10 +382,10 @@ def attribution_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_date_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of 1996 as meetings, matched with catalog entries of their date by title."""
-    o = table(spark, sf_dir, "orders").filter(F.year("o_orderdate") == 1996)
+    """Orders as meetings, matched with catalog entries of their date by title."""
+    o = table(spark, sf_dir, "orders")
     met = o.select(F.col("o_orderkey").alias("pos"), day("o_orderdate").alias("date"), F.concat_ws(" ", F.lit("call with"), F.col("o_custkey").cast("string")).alias("title"), F.lit("").alias("source_id"), F.lit("").alias("path"))
-    entries = o.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("pos"), day("o_orderdate").alias("date"), F.concat_ws(" ", F.lit("Call w/"), F.col("o_custkey").cast("string")).alias("title"), F.col("o_orderkey").cast("string").alias("source_id"), F.col("o_orderkey").cast("string").alias("path"))
+    entries = o.select(F.col("o_orderkey").alias("pos"), day("o_orderdate").alias("date"), F.concat_ws(" ", F.lit("Call w/"), F.col("o_custkey").cast("string")).alias("title"), F.col("o_orderkey").cast("string").alias("source_id"), F.col("o_orderkey").cast("string").alias("path"))
     return migrate.match_meetings(met, entries).select(F.col("pos").alias("order_id"), "source_id")
 
 
