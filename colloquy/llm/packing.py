@@ -19,12 +19,14 @@ CAPACITY = 4096
 END_ID = 1
 #: A bin of at least this share of the capacity is closed at once.
 NEARLY_FULL = 0.998
+#: A bin below this share is handed on as the items it was made of, which may fit better elsewhere.
+HALF_EMPTY = 0.875
 #: Nodes of the merge tree that meet in one.
 FAN_IN = 8
-#: Underfull bins that a node hands on at most; of more, the fullest are closed as they are, so
-#: that no task gets more than FAN_IN times as many items. Only data whose items fit with no others
-#: (all just over half the capacity, say) reach it, and lose nothing but a chance to be combined.
-MOST_HANDED_ON = 50_000
+#: Underfull bins, and pieces in them, that one task of a merging round gets on average at most; more are
+#: spread over more tasks.
+NODE_BINS = 50_000
+NODE_PIECES = 400_000
 
 PIECE = T.StructType([T.StructField(c, T.IntegerType() if c == "piece" else T.LongType()) for c in ("doc_id", "piece", "start", "length", "ids_crc32")])
 
@@ -73,6 +75,11 @@ def _pack(pieces: pa.StructArray, offsets: np.ndarray, items: np.ndarray, fills:
     """Best fit over items of `fills` tokens. pieces: all pieces, of which piece i belongs to item
     items[i] and stands at offsets[i] in it."""
     bins, place, new_fills = best_fit_decreasing(fills, capacity)
+    if not close_all and (loose := (new_fills < int(capacity * HALF_EMPTY))[bins]).any():
+        bins[loose] = len(new_fills) + np.arange(loose.sum())
+        place[loose] = 0
+        _, bins = np.unique(bins, return_inverse=True)
+        new_fills = np.bincount(bins, fills).astype(np.int64)
     at, offset = bins[items], place[items] + offsets
     order = np.lexsort((offset, at))
     fields = [f.name for f in pieces.type if f.name != "offset"]
@@ -80,10 +87,6 @@ def _pack(pieces: pa.StructArray, offsets: np.ndarray, items: np.ndarray, fills:
     held = pa.StructArray.from_arrays([*columns, pa.array(offset[order])], names=[*fields, "offset"])
     ends = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(new_fills)))))
     done = np.full(len(new_fills), close_all) | (new_fills >= int(capacity * NEARLY_FULL))
-    open_bins = np.flatnonzero(~done)
-    if len(open_bins) > MOST_HANDED_ON:
-        fullest_first = open_bins[np.argsort(-new_fills[open_bins], kind="stable")]
-        done[fullest_first[: len(open_bins) - MOST_HANDED_ON]] = True
     ids = (level << 58) + (node << 32) + np.arange(len(new_fills))
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(new_fills), node)), pa.array(ids), pa.array(new_fills), pa.array(done), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), held)],
@@ -96,9 +99,12 @@ def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY, fan
     in each sequence), so that the `length` of no sequence is over `capacity`.
 
     Each partition packs its own items best-fit and closes the nearly full bins. The underfull ones
-    become items for the parent node, `fan_in` nodes to each, until one is left. Every round is
-    written to the shared folder. A task holds one partition's columns (give ids and lengths here,
-    not texts) or fan_in * MOST_HANDED_ON bins. Lengths must be 1 to `capacity`, not null; other
+    (of those below HALF_EMPTY, what they were made of) become items for `fan_in` times fewer nodes, and so on until one is left. They are dealt to nodes
+    by a hash, so each node gets the same mix of fills wherever the rows lay, and as many nodes as
+    keep it below NODE_BINS bins on average. Where the bins that fit with no others are too many for
+    fewer nodes, the round that finds it is the last one: no bin is closed without having met that mix.
+    Every round is written to the shared folder. A task holds one partition's columns (give ids and
+    lengths here, not texts) or one node's bins. Lengths must be 1 to `capacity`, not null; other
     columns may hold anything and repeated rows stay. Columns named `offset` or `sequence_id` are
     refused. An empty table gives an empty result.
     """
@@ -123,26 +129,31 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], names: list[str], length:
 
 
 def _tree(source: DataFrame, piece: T.StructType, first: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], capacity: int, fan_in: int) -> DataFrame:
-    """The rounds over what `first` makes of each partition of `source`."""
+    """The rounds over what `first` makes of each partition of `source`, see `pack`."""
     kind = _bin_type(piece)
     names = piece.names
     rounds = [materialize(source.mapInArrow(first, kind), "pack-0")]
     nodes = (rounds[-1].agg(F.max("node")).first()[0] or 0) + 1
     level = 0
-    while nodes > 1:
+    last = False
+    while not last:
         level += 1
-        nodes = -(-nodes // fan_in)
-
-        def merge(key: tuple, table: pa.Table, *, level: int = level, last: bool = nodes == 1) -> pa.Table:
-            held = pa.concat_arrays(table.column("pieces").chunks)
-            flat = held.flatten()
-            items_of = np.repeat(np.arange(len(held)), np.diff(held.offsets.to_numpy()))
+        underfull = rounds[-1].filter(~F.col("done"))
+        held = underfull.agg(F.count("*").alias("bins"), F.coalesce(F.sum(F.size("pieces")), F.lit(0)).alias("pieces")).first()
+        fewer = max(-(-nodes // fan_in), -(-held.bins // NODE_BINS), -(-held.pieces // NODE_PIECES))
+        last = fewer == 1 or fewer >= nodes
+        nodes = fewer
+
+        def merge(key: tuple, table: pa.Table, *, level: int = level, last: bool = last) -> pa.Table:
+            table = table.sort_by("sequence_id")  # the order of rows is the shuffle's
+            pieces = pa.concat_arrays(table.column("pieces").chunks)
+            flat = pieces.flatten()
+            items_of = np.repeat(np.arange(len(pieces)), np.diff(pieces.offsets.to_numpy()))
             fills = table.column("fill").to_numpy()
             return pa.Table.from_batches([_pack(flat, flat.field("offset").to_numpy(), items_of, fills, capacity, key[0].as_py(), level, last)])
 
-        parent = F.floor(F.col("node") / F.lit(fan_in)).cast("long")
-        underfull = rounds[-1].filter(~F.col("done")).withColumn("node", parent)
-        rounds.append(materialize(underfull.groupBy("node").applyInArrow(merge, kind), f"pack-{level}"))
+        parent = F.pmod(F.xxhash64("sequence_id", F.lit(level)), F.lit(nodes))
+        rounds.append(materialize(underfull.withColumn("node", parent).groupBy("node").applyInArrow(merge, kind), f"pack-{level}"))
     out = None
     for i, bins in enumerate(rounds):
         closed = bins if i == len(rounds) - 1 else bins.filter("done")
@@ -156,7 +167,6 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text: str = "text", capa
     `ids_crc32` (of the ids as little-endian unsigned 32-bit numbers). A document is its text's ids
     and one `end_id`; a null or blank text is the `end_id` alone. Only longer ones are cut."""
     path = path or default_tokenizer()
-    path = path or default_tokenizer()
     return _bodies(df, id_col, text).mapInArrow(lambda batches: _cut_pieces(batches, path, capacity, end_id), PIECE)
 
 
@@ -167,8 +177,7 @@ def _bodies(df: DataFrame, id_col: str, text: str) -> DataFrame:
 def _cut_pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: list[tuple] = []
-        texts = (x.as_py() for x in batch.column(1))
-        for doc, ids in zip(batch.column(0).to_pylist(), tokenizer(path).encode(texts), strict=True):
+        for doc, ids in zip(batch.column(0).to_pylist(), tokenizer(path).encode(batch.column(1)), strict=True):
             ids = np.append(ids, np.uint32(end_id)).astype("<u4")
             for piece, start in enumerate(range(0, len(ids), capacity)):
                 part = ids[start : start + capacity]

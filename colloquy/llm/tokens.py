@@ -3,21 +3,30 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text tokenized at once; a longer text is cut at white space.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 16 << 20
 #: Distinct words, and bytes of them, that are remembered; beyond, those met once are forgotten.
-MEMORY_WORDS = 400_000
-MEMORY_BYTES = 16 << 20
+MEMORY_WORDS = 1_500_000
+MEMORY_BYTES = 32 << 20
 #: Words in one request to the tokenizer.
 JOINED = 64
+#: Words whose ids are put together at once.
+GATHERED = 1 << 20
 #: Marks that such a tokenizer parts from letters before them.
 MARKS = ".,;:!?"
+#: Words of these letters only are one word to the tokenizer, whatever its Unicode tables: Latin (but for
+#: two letters whose lower or composed form has a mark) and Cyrillic. Others are asked for one by one.
+_PLAIN = "^[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſА-я]{1,63}$"
+#: Texts on which the shortcuts must give the ids of the whole text, or they are not taken.
+_PROBES = ("One two,  three.\nFOUR five!? it's 3.14 x-y", "a\tb\r\nc \x0bd\x0ce", "Ünïcode Straße, мир. (see) [1] foo_bar", "word word. Word, WORD;", " lead and trail ")
 
 
 def default_tokenizer() -> str:
@@ -27,12 +36,21 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _strings(texts: pa.Array) -> pa.Array:
+    """Bytes as strings; null is empty, and what is no UTF-8 gets replacement characters."""
+    try:
+        return pc.cast(texts.fill_null(b""), pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([(x or b"").decode("utf-8", "replace") for x in texts.to_pylist()], pa.string())
+
+
 class WordTokenizer:
     """Ids of texts by a `tokenizers` file whose rules never join what white space parts.
 
     Such a tokenizer (it drops white space, and parts letters from marks, before it looks for pieces)
     gives a text the ids of its white-space-free runs in order, so each distinct run is encoded once
-    and remembered.
+    and remembered. Runs are split, told apart and looked up by Arrow; only new ones are Python
+    strings. For a file that fails a probe of these rules every text is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -44,115 +62,155 @@ class WordTokenizer:
         self._is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self._is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._forget()
+        probes = pa.array([t.encode() for t in _PROBES], pa.binary())
+        self._by_word = True
+        self._by_word = all(np.array_equal(a, b) for a, b in zip(self._encode(probes), self._whole(probes), strict=True))
+        self._forget()
 
     def _forget(self) -> None:
-        self._place: dict[bytes, int] = {}
+        self._known = pa.array([], pa.string())
         self._ids = np.zeros(0, np.uint32)
         self._starts = np.zeros(0, np.int64)
-        self._lengths = np.zeros(0, np.int64)
-        self._uses = np.zeros(0, np.int64)
-        self._bytes = 0
+        self._lengths = np.zeros(0, np.int32)
+        self._uses = np.zeros(0, np.int32)
 
     def _trim(self) -> None:
         """Keeps the words met more than once since the last time, unless they are most of them."""
-        keep = [(w, i) for w, i in self._place.items() if self._uses[i] > 1]
-        lengths, at = self._lengths, np.array([i for _, i in keep], np.int64)
-        ids = self._gather(at)
+        at = np.flatnonzero(self._uses > 1)
+        words, ids, lengths = self._known.take(pa.array(at)), self._gather(at), self._lengths[at]
         self._forget()
-        if 2 * len(keep) < MEMORY_WORDS and 2 * sum(len(w) for w, _ in keep) < MEMORY_BYTES:
-            self._store([w for w, _ in keep], ids, lengths[at])
+        if 2 * len(words) < MEMORY_WORDS and 2 * words.nbytes < MEMORY_BYTES:
+            self._store(words, ids, lengths)
 
-    def _store(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
-        first = len(self._lengths)
-        self._place.update(zip(words, range(first, first + len(words)), strict=True))
-        self._starts = np.concatenate((self._starts, len(self._ids) + np.cumsum(lengths) - lengths))
+    def _store(self, words: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self._known = pa.concat_arrays([self._known, words])
+        self._starts = np.concatenate((self._starts, len(self._ids) + np.cumsum(lengths, dtype=np.int64) - lengths))
         self._ids = np.concatenate((self._ids, ids))
-        self._lengths = np.concatenate((self._lengths, lengths))
-        self._uses = np.concatenate((self._uses, np.zeros(len(words), np.int64)))
-        self._bytes += sum(map(len, words))
+        self._lengths = np.concatenate((self._lengths, lengths.astype(np.int32)))
+        self._uses = np.concatenate((self._uses, np.zeros(len(words), np.int32)))
 
     def _gather(self, at: np.ndarray) -> np.ndarray:
         """The ids of remembered words, one after the other."""
         lengths = self._lengths[at]
-        ends = np.cumsum(lengths)
+        ends = np.cumsum(lengths, dtype=np.int64)
         return self._ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self._starts[at] - ends + lengths, lengths)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Encodes new words. Letters with marks after them are the ids of both, so only the letters
-        need the tokenizer, and each of them once."""
-        texts = b"\n".join(words).decode("utf-8", "replace").split("\n")
-        stems = [t.rstrip(MARKS) for t in texts]
-        parts: list[bytes] = []
-        for word, text, stem in zip(words, texts, stems, strict=True):
-            if stem.isalpha():
-                left = len(text) - len(stem)
-                parts += (word[:-left].lower(), word[-left:]) if left else (word.lower(), b"")
-            else:
-                parts += (word, b"")
-        new = list(set(parts).difference(self._place))
-        if new:
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where distinct words are remembered; new ones are encoded first."""
+        found = pc.index_in(words, value_set=self._known)
+        if found.null_count:
+            new = words.filter(found.is_null())
+            at = found.fill_null(-1).to_numpy().astype(np.int64)
+            at[at < 0] = self._learn(new)
+            return at
+        return found.to_numpy().astype(np.int64)
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Encodes new words and returns their places. Letters with marks after them are the ids of
+        both, so only the letters need the tokenizer, and each of them once."""
+        stems = pc.ascii_rtrim(words, characters=MARKS)
+        plain = pc.match_substring_regex(stems, _PLAIN)
+        lower = pc.if_else(plain, pc.ascii_lower(stems), words)
+        tails = pc.if_else(plain, pc.replace_substring_regex(words, pattern=f"^[^{MARKS}]+", replacement=""), "")
+        n = len(words)
+        parts = pa.concat_arrays([lower, tails]).dictionary_encode()
+        at = pc.index_in(parts.dictionary, value_set=self._known)
+        new = parts.dictionary.filter(at.is_null())
+        first = len(self._known)
+        if len(new):
             self._store(new, *self._ask(new))
-        at = np.fromiter(map(self._place.__getitem__, parts), np.int64, len(parts))
-        rest = [i for i, w in enumerate(words) if w not in self._place]
-        if rest:
-            at = at.reshape(-1, 2)[rest]
-            self._store([words[i] for i in rest], self._gather(at.ravel()), self._lengths[at].sum(axis=1))
-
-    def _ask(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and their number of each word, of the tokenizer. Many words of letters only are one
-        request; as such a word is one word to the tokenizer, the id of its end ends it."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        plain = [i for i, t in enumerate(texts) if t.isalpha() and len(t) < 64]
-        other = sorted(set(range(len(texts))).difference(plain))
-        rows = [" ".join([texts[i] for i in plain[k : k + JOINED]]) for k in range(0, len(plain), JOINED)]
-        found = self._tokenizer.encode_batch_fast(rows, add_special_tokens=False)
-        ids = np.array(list(chain.from_iterable(e.ids for e in found)), np.int64)
-        ends = np.flatnonzero(self._is_end[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
-        if len(ends) != len(plain):
-            raise ValueError("this vocabulary does not mark the ends of words")
-        found = self._tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False)
-        lists = [e.ids for e in found]
-        lengths = np.concatenate((np.diff(ends, prepend=0), np.fromiter(map(len, lists), np.int64, len(lists)))).astype(np.int64)
-        all_ids = np.concatenate((ids, np.array(list(chain.from_iterable(lists)), np.int64))).astype(np.uint32)
-        # From "plain, then other" back to the order of the words.
-        back = np.argsort(np.array(plain + other, np.int64), kind="stable")
+        at = at.fill_null(-1).to_numpy().astype(np.int64)
+        at[at < 0] = first + np.arange(len(new))
+        of_parts = at[parts.indices.to_numpy()].reshape(2, n).T
+        # What is a part itself is remembered by now.
+        same = pc.index_in(words, value_set=new).fill_null(-1).to_numpy().astype(np.int64)
+        out = first + same
+        rest = np.flatnonzero(same < 0)
+        if len(rest):
+            out[rest] = len(self._known) + np.arange(len(rest))
+            both = of_parts[rest]
+            self._store(words.take(pa.array(rest)), self._gather(both.ravel()), self._lengths[both].sum(axis=1))
+        return out
+
+    def _ask(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number of each word, of the tokenizer. Many plain words are one request; as each
+        is one word to the tokenizer, the id of its end ends it."""
+        texts = words.to_pylist()
+        plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
+        joined, alone = np.flatnonzero(plain), np.flatnonzero(~plain)
+        if len(joined):
+            rows = [" ".join([texts[i] for i in joined[k : k + JOINED].tolist()]) for k in range(0, len(joined), JOINED)]
+            ids, sizes = self._flat(rows)
+            stops = np.flatnonzero(self._is_end[ids]) + 1
+            row_stops = np.cumsum(sizes)
+            counts = np.diff(np.searchsorted(stops, row_stops, "right"), prepend=0)
+            # A row with another number of ends than of words is asked for word by word.
+            odd = (counts != np.diff(np.minimum(np.arange(len(rows) + 1) * JOINED, len(joined)))) | ~self._is_end[ids[row_stops - 1]]
+            if odd.any():
+                of_words = np.repeat(odd, JOINED)[: len(joined)]
+                joined, alone = joined[~of_words], np.concatenate((alone, joined[of_words]))
+                keep = np.repeat(~odd, sizes)
+                ids = ids[keep]
+                stops = np.flatnonzero(self._is_end[ids]) + 1
+            lengths = np.diff(stops, prepend=0)
+        else:
+            ids, lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        more, sizes = self._flat([texts[i] for i in alone.tolist()])
+        ids, lengths = np.concatenate((ids, more)), np.concatenate((lengths, sizes))
+        # From "joined, then alone" back to the order of the words.
+        back = np.argsort(np.concatenate((joined, alone)), kind="stable")
         starts = (np.cumsum(lengths) - lengths)[back]
         lengths = lengths[back]
         stops = np.cumsum(lengths)
-        return all_ids[np.arange(stops[-1]) + np.repeat(starts - stops + lengths, lengths)], lengths
-
-    def _encode(self, bodies: list[bytes]) -> Iterator[np.ndarray]:
-        split = [b.split() for b in bodies]
-        words = list(chain.from_iterable(split))
-        if len(self._place) > MEMORY_WORDS or self._bytes > MEMORY_BYTES:
+        return ids[np.arange(stops[-1]) + np.repeat(starts - stops + lengths, lengths)], lengths.astype(np.int32)
+
+    def _flat(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, one after the other, and their number of each."""
+        found = [e.ids for e in self._tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def _whole(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        for text in _strings(texts).to_pylist():
+            yield np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each of some texts, BATCH_BYTES together at most."""
+        if not self._by_word:
+            yield from self._whole(texts)
+            return
+        if len(self._known) > MEMORY_WORDS or self._known.nbytes > MEMORY_BYTES:
             self._trim()
-        new = list(set(words).difference(self._place))
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self._place.__getitem__, words), np.int64, len(words))
-        self._uses += np.bincount(at, minlength=len(self._uses))
-        ids = self._gather(at)
-        bounds = np.concatenate(([0], np.cumsum(self._lengths[at])))[np.cumsum([0, *map(len, split)])]
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            yield ids[a:b]
-
-    def encode(self, bodies: Iterable[bytes | None]) -> Iterator[np.ndarray]:
-        """The ids (uint32) of each UTF-8 text, in order; none for a null or blank text."""
-        held: list[bytes] = []
-        size = 0
-        for body in bodies:
-            body = body or b""
-            if len(body) > BATCH_BYTES:
-                yield from self._encode(held)
-                held, size = [], 0
-                yield np.concatenate([next(self._encode([part])) for part in _cut(body)])
+        lists = pc.ascii_split_whitespace(_strings(texts))
+        flat = lists.flatten().dictionary_encode()
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        del lists
+        at = self._places(flat.dictionary)[flat.indices.to_numpy()]
+        self._uses += np.bincount(at, minlength=len(self._uses)).astype(np.int32)
+        first = 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + GATHERED, "right")) - 1)
+            part = at[bounds[first] : bounds[last]]
+            ids = self._gather(part)
+            cuts = np.concatenate(([0], np.cumsum(self._lengths[part], dtype=np.int64)))[bounds[first : last + 1] - bounds[first]]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                yield ids[a:b]
+            first = last
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids (uint32) of each UTF-8 text (binary) in order; none for a null or blank text."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(texts):
+            if sizes[at] > BATCH_BYTES and self._by_word:
+                parts = _cut(texts[at].as_py())
+                yield np.concatenate([ids for p in parts for ids in self._encode(pa.array([p], pa.binary()))])
+                at += 1
                 continue
-            held.append(body)
-            size += len(body)
-            if size > BATCH_BYTES:
-                yield from self._encode(held)
-                held, size = [], 0
-        yield from self._encode(held)
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + BATCH_BYTES, "right")))
+            yield from self._encode(texts.slice(at, stop - at))
+            at = stop
 
 
 def _cut(body: bytes) -> Iterator[bytes]:

@@ -81,8 +81,7 @@ def _sequences(batches: Iterator[pa.RecordBatch], path: str, length: int, end_id
     with the ids of the documents that have a part in each. The last sequence may be shorter."""
     held, docs = np.zeros(0, np.uint32), []
     for batch in batches:
-        texts = (x.as_py() for x in batch.column(1))
-        for doc, ids in zip(batch.column(0).to_pylist(), tokenizer(path).encode(texts), strict=True):
+        for doc, ids in zip(batch.column(0).to_pylist(), tokenizer(path).encode(batch.column(1)), strict=True):
             held = np.concatenate((held, ids, np.array([end_id], np.uint32)))
             docs.append(doc)
             at = 0

@@ -1,9 +1,13 @@
 """Packing: exact ids, whole documents, gapless places, and few sequences."""
 
 import random
+import sys
+import unicodedata
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -24,10 +28,32 @@ def test_ids_equal_the_tokenizers(monkeypatch):
     for size in (64, 1 << 20):
         monkeypatch.setattr(tokens, "BATCH_BYTES", size)
         monkeypatch.setattr(tokens, "MEMORY_WORDS", 40)
-        got = list(tokens.WordTokenizer(tokens.default_tokenizer()).encode(None if t is None else t.encode() for t in texts()))
+        column = pa.array([None if t is None else t.encode() for t in texts()], pa.binary())
+        got = list(tokens.WordTokenizer(tokens.default_tokenizer()).encode(column))
         assert [g.tolist() for g in got] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts()]
 
 
+def test_every_character():
+    """Each assigned character alone, among letters, and before marks."""
+    whole = Tokenizer.from_file(tokens.default_tokenizer())
+    found = [chr(c) for c in range(1, sys.maxunicode + 1) if unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs")]
+    found = [c for c in found if not (0x3400 <= ord(c) <= 0x9FFF or 0xAC00 <= ord(c) <= 0xD7A3 or ord(c) >= 0x17000) or ord(c) % 97 == 0]
+    rows = [f"{c} a{c} {c}b, X{c}y.{c}" for c in found]
+    got = tokens.WordTokenizer(tokens.default_tokenizer()).encode(pa.array([r.encode() for r in rows], pa.binary()))
+    want = whole.encode_batch_fast(rows, add_special_tokens=False)
+    assert [c for c, g, w in zip(found, got, want, strict=True) if g.tolist() != w.ids] == []
+
+
+def test_bytes_that_are_no_text_and_other_files():
+    t = tokens.WordTokenizer(tokens.default_tokenizer())
+    a, b = t.encode(pa.array([b"a\xffb c", "a\ufffdb c".encode()], pa.binary()))
+    assert a.tolist() == b.tolist()
+    path = str(Path(tokens.default_tokenizer()).parent / "byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    got = tokens.WordTokenizer(path).encode(pa.array([None if x is None else x.encode() for x in texts()], pa.binary()))
+    assert [g.tolist() for g in got] == [whole.encode(x or "", add_special_tokens=False).ids for x in texts()]
+
+
 @pytest.mark.parametrize(("parts", "fan_in"), [(1, 8), (9, 2)])
 def test_documents_are_packed_whole(spark, parts, fan_in):
     rows = list(enumerate(texts()))
@@ -57,11 +83,20 @@ def test_few_sequences_over_many_partitions(spark):
 
 
 def test_items_that_fit_with_none(spark, monkeypatch):
-    monkeypatch.setattr(packing, "MOST_HANDED_ON", 5)
+    monkeypatch.setattr(packing, "NODE_BINS", 5)
     df = spark.range(100, numPartitions=5).select("id", F.lit(2100).cast("long").alias("length"))
     assert packing.pack(df).select("sequence_id").distinct().count() == 100
 
 
+def test_items_that_lie_together(spark, monkeypatch):
+    """What would fill bins lies in other partitions, and the bins are too many for one task."""
+    monkeypatch.setattr(packing, "NODE_BINS", 100)
+    df = spark.range(2000, numPartitions=20).select("id", F.when(F.col("id") < 1000, 2596).otherwise(1500).cast("long").alias("length"))
+    got = packing.pack(df)
+    assert got.count() == 2000
+    assert got.select("sequence_id").distinct().count() <= 1120
+
+
 def test_bounds_and_empty(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     with pytest.raises(ValueError):
