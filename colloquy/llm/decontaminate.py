@@ -149,13 +149,18 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: st
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of `docs` without any hit word, with its columns. Rows are told apart by a number
-    they get here, so null and repeated ids do no harm."""
-    row = fresh_name(docs.columns, "_row")
-    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "decon-rows")
-    found = find(rows.select(F.col(row).alias("row_id"), F.col(text).alias("body")), benchmark, "row_id", "body", item_id, item_text)
-    gone = materialize(found.filter("contaminated").select(F.col("row_id").alias(row)), "decon-gone")
-    return rows.join(broadcast_if_small(gone, BROADCAST_IDS), row, "left_anti").select(*docs.columns)
+    """The rows of `docs` without any hit word, with its columns.
+
+    A row is told apart by its id and its text's hash, for which the verdict is the same; so null and
+    repeated ids do no harm, and texts are not written a second time.
+    """
+    n = _names(docs)
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("h"))
+    found = find(docs.select(key.alias("key"), F.col(text).alias("body")), benchmark, "key", "body", item_id, item_text)
+    gone = found.filter("contaminated").select(F.col("key.id").alias(n["row"]), F.col("key.h").alias(n["fp"])).distinct()
+    gone = broadcast_if_small(materialize(gone, "decon-gone"), BROADCAST_IDS)
+    same = (F.xxhash64(docs[text]) == gone[n["fp"]]) & docs[id_col].eqNullSafe(gone[n["row"]])
+    return docs.join(gone, same, "left_anti")
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,18 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_name, materialize, read_table, small_enough
+from .common import fresh_name, materialize, read_table
 
-#: The bound of the fitting sample: rated rows, those with the least hash of their id. Everything is scored.
-SAMPLE_ROWS = 8_000
+#: The bound of the fitting sample: rated ids, those with the least hash. Everything is scored.
+SAMPLE_ROWS = 16_000
 BUCKETS = 1 << 22
 #: Features in fewer texts of the sample than this get no weight.
-MIN_TEXTS = 4
-#: Nor do features whose presence says less about the grade than this likelihood-ratio statistic.
-MIN_ASSOCIATION = 40.0
-ROUNDS = 600
+MIN_TEXTS = 3
+#: Nor do features whose presence says so little about the grade that chance would (likelihood-ratio
+#: statistic: two in a hundred features without a meaning exceed it). The penalty does the rest.
+MIN_ASSOCIATION = 8.0
+ROUNDS = 300
 RATE = 0.3
-L1 = 3e-4
+#: The L1 penalty: a weight leaves zero if the texts with the feature, less those that speak against
+#: it, are about this many.
+L1_ROWS = 2.4
 #: Beginnings of words that are features too, in code points: inflected forms share them.
 STEMS = (4, 5)
 #: A text is kept if its grade is the highest with at least this probability.
@@ -128,6 +131,21 @@ def _association(at: np.ndarray, rows: np.ndarray, grades: np.ndarray, n_names:
     return 2 * total
 
 
+def loss_and_gradient(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, w: np.ndarray, theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood and its slopes by the weights and by the thresholds. Text rows[i] has
+    feature cols[i]; P(grade) is the difference of two neighbouring sigmoids."""
+    n = len(grades)
+    score = np.bincount(rows, w[cols], n)
+    below = np.concatenate((np.zeros((n, 1)), _sigmoid(theta[None, :] - score[:, None]), np.ones((n, 1))), axis=1)
+    a, b = below[np.arange(n), grades + 1], below[np.arange(n), grades]
+    p = np.maximum(a - b, 1e-12)
+    step = np.bincount(cols, ((1 - a - b) / n)[rows], len(w))
+    slope = np.zeros(len(theta) + 2)
+    np.add.at(slope, grades + 1, -a * (1 - a) / p / n)
+    np.add.at(slope, grades, b * (1 - b) / p / n)
+    return float(-np.log(p).mean()), step, slope[1:-1]
+
+
 def fit_arrays(buckets: list[np.ndarray], grades: np.ndarray, n_grades: int, min_texts: int = MIN_TEXTS, rounds: int = ROUNDS) -> OrdinalModel:
     """Proximal adaptive gradient on the mean negative log-likelihood with an L1 penalty. Grades that
     do not occur get thresholds of their neighbours; no rows give a model that is sure of the highest."""
@@ -147,19 +165,11 @@ def fit_arrays(buckets: list[np.ndarray], grades: np.ndarray, n_grades: int, min
     theta = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-3 * np.arange(n_grades - 1))
     gw, gt = np.full(len(names), 1e-8), np.full(n_grades - 1, 1e-8)
     for _ in range(rounds):
-        score = np.bincount(rows, w[cols], n)
-        below = np.concatenate((np.zeros((n, 1)), _sigmoid(theta[None, :] - score[:, None]), np.ones((n, 1))), axis=1)
-        a, b = below[np.arange(n), grades + 1], below[np.arange(n), grades]
-        p = np.maximum(a - b, 1e-12)
-        step = np.bincount(cols, ((1 - a - b) / n)[rows], len(names))
+        _, step, slope = loss_and_gradient(rows, cols, grades, w, theta)
         gw += step**2
         rate = RATE / np.sqrt(gw)
         w -= rate * step
-        w = np.sign(w) * np.maximum(0.0, np.abs(w) - rate * L1)
-        slope = np.zeros(n_grades + 1)
-        np.add.at(slope, grades + 1, -a * (1 - a) / p / n)
-        np.add.at(slope, grades, b * (1 - b) / p / n)
-        slope = slope[1:-1]
+        w = np.sign(w) * np.maximum(0.0, np.abs(w) - rate * L1_ROWS / n)
         gt += slope**2
         theta = np.maximum.accumulate(theta - RATE / np.sqrt(gt) * slope)
     return OrdinalModel({int(k): float(v) for k, v in zip(names, w, strict=True) if v}, [float(x) for x in theta])
@@ -167,12 +177,15 @@ def fit_arrays(buckets: list[np.ndarray], grades: np.ndarray, n_grades: int, min
 
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> OrdinalModel:
     """Fits on at most `sample_rows` rated rows. ratings: `id`, `grade` (0 to n_grades - 1); null ids
-    and grades are left out, of several grades of an id the least counts. Texts and the
-    features that tell nothing stay on the executors; the driver gets the sample's other ones."""
+    and grades are left out, of several grades of an id the least counts, of several texts of an id
+    that with the least hash. Ids are sampled by their hashes, ties by the ids. Empty tables give a
+    model that is sure of the highest grade. Texts, and the features that tell nothing, stay on the
+    executors; the driver gets the sample's other ones as arrays."""
     rated = ratings.filter("id is not null and grade is not null").groupBy("id").agg(F.min("grade").cast("int").alias("grade"))
     sample = rated.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     sample = F.broadcast(materialize(sample, "classifier-sample"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("body")).join(sample, "id").select("grade", "body")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("body")).join(sample, "id")
+    rows = rows.groupBy("id").agg(F.min("grade").alias("grade"), F.min_by("body", F.xxhash64("body")).alias("body")).select("grade", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -181,21 +194,19 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["grade", "buckets"])
 
     held = materialize(rows.mapInArrow(run, "grade int, buckets array<int>"), "classifier-features")
-    if not small_enough(held, sample_rows):  # repeated ids
-        held = materialize(held.limit(sample_rows), "classifier-features")
     of = {r.grade: r["count"] for r in held.groupBy("grade").count().collect()}
-    telling = np.array(sorted(r.bucket for r in telling_features(held, [of.get(k, 0) for k in range(n_grades)]).collect()), np.int32)
+    telling = np.sort(telling_features(held, [of.get(k, 0) for k in range(n_grades)]).toArrow().column(0).to_numpy()).astype(np.int32)
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.intersect1d(x.values.to_numpy(), telling) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["grade", "buckets"])
 
-    small = held.mapInArrow(select, "grade int, buckets array<int>").toArrow().to_pydict()
-    buckets = [np.array(x, np.int64) for x in small["buckets"]]
-    grades = np.array(small["grade"], np.int64)
+    small = held.mapInArrow(select, "grade int, buckets array<int>").toArrow()
+    buckets = [x.values.to_numpy() for chunk in small.column("buckets").chunks for x in chunk]
+    grades = small.column("grade").to_numpy().astype(np.int64)
     # The order of collected rows is the executors'; the sums should not depend on it.
-    order = sorted(range(len(grades)), key=lambda i: (grades[i], buckets[i].tolist()))
+    order = sorted(range(len(grades)), key=lambda i: (grades[i], buckets[i].tobytes()))
     return fit_arrays([buckets[i] for i in order], grades[order], n_grades)
 
 
@@ -214,18 +225,20 @@ def telling_features(held: DataFrame, of: list[int]) -> DataFrame:
 
 def add_grades(docs: DataFrame, model: OrdinalModel, text: str, expected: str, tail: str) -> DataFrame:
     """`docs` with the expected grade and the probability of the highest grade of each text. Null and
-    blank texts have the one feature `empty`."""
+    blank texts have the one feature `empty`; repeated rows get equal numbers; an empty table stays
+    empty. `expected` and `tail` may not be columns of `docs`, whatever their case."""
+    if clash := {c.lower() for c in docs.columns} & {expected.lower(), tail.lower()}:
+        raise ValueError(f"columns {sorted(clash)} are there already")
     schema = T.StructType([*docs.schema.fields, T.StructField(expected, T.DoubleType()), T.StructField(tail, T.DoubleType())])
-    at = docs.columns.index(text)
+    n = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(model.weights)
         for batch in batches:
-            bodies = (None if x is None else x.encode() for x in (v.as_py() for v in batch.column(at)))
-            tails = model.tails(model.scores(bodies, features))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tails.sum(axis=1)), pa.array(np.ascontiguousarray(tails[:, -1]))], names=schema.names)
+            tails = model.tails(model.scores((x.as_py() for x in batch.column(n)), features))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(tails.sum(axis=1)), pa.array(np.ascontiguousarray(tails[:, -1]))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.withColumn(fresh_name(docs.columns, "_body"), F.col(text).cast("binary")).mapInArrow(run, schema)
 
 
 def document_ratings(labels: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from colloquy.llm import quality_classifier as qc
@@ -31,6 +32,32 @@ def test_held_out_grades(spark):
     assert np.mean([(r.top >= 0.5) == (r.grade == 3) for r in got]) > 0.95
 
 
+def test_gradient_is_the_loss_slope():
+    r = np.random.default_rng(4)
+    rows, cols, grades = r.integers(0, 40, 160), r.integers(0, 12, 160), r.integers(0, 4, 40)
+    pairs = np.unique(np.stack((rows, cols), axis=1), axis=0)
+    w, theta = r.normal(size=12), np.array([-1.0, 0.2, 1.5])
+    loss = lambda w, t: qc.loss_and_gradient(pairs[:, 0], pairs[:, 1], grades, w, t)[0]
+    _, by_w, by_theta = qc.loss_and_gradient(pairs[:, 0], pairs[:, 1], grades, w, theta)
+    e = 1e-6
+    for k in range(12):
+        d = e * (np.arange(12) == k)
+        assert abs((loss(w + d, theta) - loss(w - d, theta)) / (2 * e) - by_w[k]) < 1e-6
+    for k in range(3):
+        d = e * (np.arange(3) == k)
+        assert abs((loss(w, theta + d) - loss(w, theta - d)) / (2 * e) - by_theta[k]) < 1e-6
+
+
+def test_repeated_ids_and_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "c d"), (1, "a b"), (2, "e")], "doc_id long, TEXT string")
+    ratings = spark.createDataFrame([(1, 0), (1, 1), (2, 1)], "id long, grade int")
+    first, again = (qc.fit(docs.repartition(n), ratings, 2) for n in (1, 3))
+    assert first == again
+    assert qc.add_grades(docs, first, "text", "e", "t").columns == ["doc_id", "TEXT", "e", "t"]
+    with pytest.raises(ValueError, match="there already"):
+        qc.add_grades(docs, first, "text", "Text", "t")
+
+
 def test_tails_are_ordered_and_bounded():
     model = qc.OrdinalModel({1: 2.0}, [-1.0, 0.5, 2.0])
     tails = model.tails(np.linspace(-9, 9, 50))
