@@ -8,20 +8,24 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize, read_table
 from .urls import host_of
 
-_MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+>""",
-    re.S,
-)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: A path with this share of a host's votes is one of its templates; there are 1 / TEMPLATE_SHARE at most.
+TEMPLATE_SHARE = 0.25
+#: A tag up to this long may hold `>` in quotes; a longer one ends at the first.
+TAG_CHARS = 8192
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,6 +48,11 @@ DROP_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialo
 GOOD_WORDS = frozenset("article body content entry main post story text".split())
 #: Of these, a wrapper round the article may be named too (`with-sidebar`): an article element in it is kept.
 LAYOUT_WORDS = frozenset("ad ads banner footer header menu modal nav navbar sidebar widget widgets".split())
+#: Words before which another word of a class says what the page has, or has not, not what the element is.
+OTHERS_WORDS = frozenset("has have hide hides no non not show shows with without".split())
+#: Text of these is dropped for a class only if all its words speak of it: `notice-box`, not `notice-board`.
+PARAGRAPH = frozenset("blockquote caption cite code dd dt em figcaption h1 h2 h3 h4 h5 h6 li p pre q span strong td th".split())
+SIDE_WORDS = frozenset("area bar block body bottom box button buttons center content container form group inner item items left line link links list main outer page panel right row section site slot small text title top wrap wrapper".split())
 #: A start tag of the key ends an open element of these, up to one of the fence.
 _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -56,27 +65,52 @@ _ENDS = {
 }
 
 
-@dataclass
+KEPT, LAYOUT, SOFT, HARD = range(4)
+
+
 class Node:
-    """An element. step: its tag and classes without digits; drop: it or an ancestor is no part of an article;
-    layout: no more than LAYOUT_WORDS say so."""
-
-    tag: str
-    parent: Node | None
-    drop: bool = False
-    layout: bool = False
-    step: str = ""
-    good: bool = False
-    score: float = 0.0
-    path_held: str | None = field(default=None, repr=False)
+    """An element. step: its tag and classes without digits; own: why it is no part of an article itself
+    (LAYOUT: words that a wrapper may have too; SOFT: other words, or a form; HARD: anything else);
+    state: the same with what is round it; cause: the outermost element that is dropped for itself; home: the
+    nearest block or dropped element, box: the nearest container, itself included."""
+
+    __slots__ = ("box", "cause", "good", "hash", "home", "home_at", "lifted", "liftable", "own", "parent", "score", "state", "step", "tag")
+
+    def __init__(self, tag: str, parent: Node | None, own: int = KEPT, step: str = "", good: bool = False, liftable: bool = False) -> None:
+        self.tag, self.parent, self.own, self.step, self.good, self.liftable = tag, parent, own, step, good, liftable
+        self.score, self.lifted, self.state = 0.0, False, KEPT
+        self.home: Node = self
+        self.box: Node = self if parent is None or tag in CONTAINER else parent.box
+        self.cause: Node | None = None
+        self.home_at = 0
+        # Of the path's text; html and body are often left out, and mean nothing.
+        self.hash = parent.hash if parent else xxhash.xxh64()
+        if parent and tag not in ("html", "body"):
+            self.hash = self.hash.copy()
+            self.hash.update(f">{step}".encode("utf-8", "surrogatepass"))
+
+    @property
+    def drop(self) -> bool:
+        return self.state != KEPT
+
+    def settle(self) -> None:
+        """`state`, of the parent's."""
+        above = self.parent.state if self.parent else KEPT
+        own = KEPT if self.lifted else self.own
+        if own == KEPT and above == LAYOUT and self.tag in ("article", "main"):
+            above = KEPT
+        self.state = max(above, own)
+        before = self.parent.cause if self.parent and above != KEPT else None
+        self.cause = before or (self if own != KEPT else None)
 
     @property
     def path(self) -> str:
-        if self.path_held is None:
-            before = self.parent.path if self.parent else ""
-            # html and body are often left out, and mean nothing
-            self.path_held = before if self.tag in ("html", "body", "") else f"{before}>{self.step}"
-        return self.path_held
+        steps, node = [], self
+        while node is not None and node.parent is not None:
+            if node.tag not in ("html", "body"):
+                steps.append(f">{node.step}")
+            node = node.parent
+        return "".join(reversed(steps))
 
 
 @dataclass
@@ -94,30 +128,53 @@ def _words(value: str) -> list[str]:
     return [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()) if w]
 
 
+@lru_cache(maxsize=2048)
+def _drop_words(value: str, strict: bool) -> frozenset[str]:
+    """The words of DROP_WORDS that classes or an id say an element is."""
+    out: set[str] = set()
+    for one in value.split():
+        words = _words(one)
+        if strict and not all(w in DROP_WORDS or w in SIDE_WORDS or w in OTHERS_WORDS for w in words):
+            continue
+        out.update(w for i, w in enumerate(words) if w in DROP_WORDS and not OTHERS_WORDS.intersection(words[:i]))
+    return frozenset(out)
+
+
 def _node(tag: str, said: str, parent: Node) -> Node:
     found = _attributes(said) if said.strip(" /\n\t\r") else {}
-    classes = sorted({re.sub(r"\d+", "#", c.lower()) for c in found.get("class", "").split()})
-    words = set(_words(found.get("class", "")) + _words(found.get("id", "")))
+    if tag in ("html", "body"):
+        return Node(tag, parent, step=tag)
+    names, role = found.get("class", ""), found.get("role", "").lower()
+    classes = sorted({re.sub(r"\d+", "#", c.lower()) for c in names.split()})
     inside = parent.tag in ("article", "main") or parent.good
+    named = _drop_words(names, tag in PARAGRAPH) | _drop_words(found.get("id", ""), tag in PARAGRAPH)
     if inside:
-        words -= {"header"}  # the article's own heading
-    named = words & DROP_WORDS if tag not in ("html", "body") else set()
-    hard = tag in DROP_TAGS or (tag == "header" and not inside) or (tag not in ("html", "body") and found.get("role", "").lower() in DROP_ROLES)
-    hard = hard or bool(named - LAYOUT_WORDS) or (parent.drop and not parent.layout)
-    article = tag in ("article", "main")
-    layout = not hard and not (article and not named) and (bool(named) or parent.layout)
-    drop = hard or layout
+        named = named - {"header"}  # the article's own heading
     style = found.get("style", "").replace(" ", "").lower()
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
-        drop, layout = True, False
-    return Node(tag, parent, drop, layout, ".".join([tag, *classes]), tag in ("article", "main") or bool(words & GOOD_WORDS))
+    hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+    own = KEPT
+    if hidden or (tag in DROP_TAGS and tag != "form") or (tag == "header" and not inside) or role in DROP_ROLES - {"form"}:
+        own = HARD
+    elif named - LAYOUT_WORDS or tag == "form" or role == "form":
+        own = SOFT
+    elif named:
+        own = LAYOUT
+    good = tag in ("article", "main") or bool(GOOD_WORDS.intersection(_words(names) + _words(found.get("id", ""))))
+    # A form, or a name that says more than that it is to be dropped, may be the page's own wrapper.
+    only = _drop_words(names, True) | _drop_words(found.get("id", ""), True)
+    liftable = own in (SOFT, LAYOUT) and (not named or (named <= LAYOUT_WORDS - {"ad", "ads"} and not only))
+    return Node(tag, parent, own, ".".join([tag, *classes]), good, liftable)
 
 
 def parse(page: str) -> list[Block]:
     """The blocks of text of a page in order, those to be dropped included. Unclosed, crossed and
-    stray tags are taken as browsers take them, more or less; inline tags leave no trace."""
+    stray tags are taken as browsers take them, more or less; inline tags leave no trace. The time is
+    in proportion to the page's length, however deep it nests and whatever it leaves open."""
     root = Node("", None)
     stack = [root]
+    nodes = [root]
+    places: dict[str, list[int]] = {}  # of the open elements of each tag
+    walls: list[int] = []  # of the open blocks
     blocks: list[Block] = []
     held: list[str] = []
     links: list[str] = []
@@ -126,8 +183,7 @@ def parse(page: str) -> list[Block]:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                node = next(n for n in reversed(stack) if n.tag in BLOCK or n.drop or n is root)
-                blocks.append(Block(node, text, len("".join(links))))
+                blocks.append(Block(stack[-1].home, text, len("".join(links))))
             held.clear()
             links.clear()
 
@@ -136,49 +192,59 @@ def parse(page: str) -> list[Block]:
         if any(n.tag == "a" for n in stack[-4:]):
             links.append(text)
 
-    def close_to(index: int) -> None:
-        if any(n.tag in BLOCK or n.drop for n in stack[index:]):
-            flush()
+    def cut(index: int) -> None:
+        for node in stack[index:]:
+            places[node.tag].pop()
         del stack[index:]
+        while walls and walls[-1] >= index:
+            walls.pop()
+
+    def last(tags: set[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     at, end = 0, len(page)
+    last_close = page.rfind(">")
     while at < end:
-        m = _MARKUP.search(page, at)
-        if m is None:
-            add(page[at:])
+        start = page.find("<", at)
+        if start < 0 or start > last_close:
+            if page.startswith("<!--", start) and start >= 0:
+                add(page[at:start])
+            else:
+                add(page[at:])
             break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
+        if start > at:
+            add(page[at:start])
+        if page.startswith("<!--", start):
+            stop = page.find("-->", start + 4)
+            at = end if stop < 0 else stop + 3
             continue
-        tag = tag.lower()
-        if m[1] or m[4]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close_to(i)
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break
+        name = _NAME.match(page, start)
+        if name is None:
+            if page[start + 1 : start + 2] in ("!", "?", "/"):
+                at = page.find(">", start) + 1
+            else:
+                add("<")
+                at = start + 1
             continue
-        said = m[3] or m[6] or ""
+        m = _TAG.match(page, start, min(end, start + TAG_CHARS))
+        at = m.end() if m else page.find(">", start) + 1
+        tag = name[1].lower()
+        if page[start + 1] == "/":
+            index = last({tag})
+            if index and (tag in BLOCK or not walls or walls[-1] < index):
+                if stack[-1].home_at >= index:
+                    flush()
+                cut(index)
+            continue
+        said = m[3] if m else page[name.end() : at - 1]
         if tag in BLOCK:
             flush()
-            for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK:
-                    break
+            if (index := last({"p"})) and walls[-1] == index:  # a block ends an open paragraph
+                cut(index)
             if tag in _ENDS:
                 ended, fence = _ENDS[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in fence:
-                        break
-                    if stack[i].tag in ended:
-                        del stack[i:]
-                        break
+                if (index := last(ended)) > last(fence):
+                    cut(index)
         if tag in VOID:
             if tag in ("br", "hr"):
                 held.append(" ")
@@ -188,13 +254,46 @@ def parse(page: str) -> list[Block]:
             at = stop.end() if stop else end
             continue
         node = _node(tag, said, stack[-1])
+        node.settle()
         if node.drop and not stack[-1].drop:
             flush()
+        if tag in BLOCK or node.drop:
+            node.home_at = len(stack)
+        else:
+            node.home, node.home_at = stack[-1].home, stack[-1].home_at
+        if tag in BLOCK:
+            walls.append(len(stack))
+        places.setdefault(tag, []).append(len(stack))
         stack.append(node)
+        nodes.append(node)
     flush()
+    _lift(nodes, blocks)
     return blocks
 
 
+def _lift(nodes: list[Node], blocks: list[Block]) -> None:
+    """A form, or an element like `sidebar-layout`, round all that a page says is no part to be dropped: where
+    next to nothing is kept, the one that holds the most is taken for the page's own wrapper."""
+    for _ in range(8):
+        kept, of = 0, {}
+        for b in blocks:
+            chars = max(0, len(b.text) - 2 * b.link_chars)
+            if not b.node.drop:
+                kept += chars
+                continue
+            cause = b.node.cause
+            if cause is not None and cause.liftable:
+                of[cause] = of.get(cause, 0) + chars
+        if not of:
+            return
+        wrapper = max(of, key=lambda n: of[n])
+        if of[wrapper] <= 20 * kept:
+            return
+        wrapper.lifted = True
+        for node in nodes:
+            node.settle()
+
+
 def best_container(blocks: list[Block]) -> Node | None:
     """The container with the most text of its own kind: each kept block counts its characters
     outside links for its container, half for the one above, and so on. The article or main element
@@ -204,45 +303,103 @@ def best_container(blocks: list[Block]) -> Node | None:
         if b.node.drop:
             continue
         worth = max(0, len(b.text) - 2 * b.link_chars) + 1
-        node: Node | None = b.node
-        while node is not None and node.tag not in CONTAINER and node.parent is not None:
-            node = node.parent
-        while node is not None:
+        node: Node | None = b.node.box
+        while node is not None and worth > 1e-9:  # beyond, halves of halves tell nothing
             node.score += worth * (1.5 if node.good else 1.0)
             scored[id(node)] = node
             worth *= 0.5
-            node = node.parent
-            while node is not None and node.tag not in CONTAINER and node.parent is not None:
-                node = node.parent
+            node = _container_above(node)
     if not scored:
         return None
     best = max(scored.values(), key=lambda n: n.score)
-    node, above = best, best
+    node, above = best, None
     while node is not None:
         if node.tag in ("article", "main"):
             above = node
             if node.tag == "article":
                 break
         node = node.parent
-    return above
+    return above if above is not None else _with_rest(best, blocks)
+
+
+def _container_above(node: Node) -> Node | None:
+    return node.parent.box if node.parent is not None else None
+
+
+def _with_rest(best: Node, blocks: list[Block]) -> Node:
+    """`best`, or the container above while that adds running text: a sixth of what is there or more, of
+    paragraphs and headings that are hardly links."""
+    for _ in range(8):
+        above = _container_above(best)
+        if above is None or above.parent is None or above.tag in ("html", "body"):
+            return best
+        here, more, seen = 0, 0, {}
+        for b in blocks:
+            if not b.node.drop and b.link_chars * 4 < len(b.text) and _below(b.node, above, seen):
+                if _below(b.node, best, seen):
+                    here += len(b.text)
+                elif b.node.tag in PARAGRAPH:
+                    more += len(b.text)
+        if more * 6 < here or not more:
+            return best
+        best = above
+    return best
+
+
+def _below(node: Node, top: Node, seen: dict[tuple[int, int], bool]) -> bool:
+    """Whether `node` is `top` or in it; each element is asked once."""
+    passed, now, found = [], node, False
+    while now is not None:
+        if now is top:
+            found = True
+            break
+        if (known := seen.get((id(now), id(top)))) is not None:
+            found = known
+            break
+        passed.append(now)
+        now = now.parent
+    for n in passed:
+        seen[id(n), id(top)] = found
+    return found
 
 
-def _inside(node: Node | None, path: str) -> bool:
-    while node is not None:
-        if node.path == path and (node.tag in CONTAINER or node.parent is None):
-            return True
-        node = node.parent
-    return False
+def _text_in(blocks: list[Block], path: int) -> list[str]:
+    """Kept blocks in containers whose path has the hash `path`."""
+    inside: dict[int, bool] = {}
+    out = []
+    for b in blocks:
+        if b.node.drop:
+            continue
+        passed, node, found = [], b.node, False
+        while node is not None:
+            if id(node) in inside:
+                found = inside[id(node)]
+                break
+            if node.hash.intdigest() == path and (node.tag in CONTAINER or node.parent is None):
+                found = inside[id(node)] = True
+                break
+            passed.append(node)
+            node = node.parent
+        inside.update((id(n), found) for n in passed)
+        if found:
+            out.append(b.text)
+    return out
 
 
-def extract(page: str | None, path: str | None = None) -> str:
-    """The main text of a page: its kept blocks inside containers of the generalised `path`, or of
-    the page's own best one if it has none with text there; joined by empty lines."""
+def extract(page: str | None, paths: str | Sequence[str] | None = None) -> str:
+    """The main text of a page: its kept blocks, joined by empty lines, inside containers of one of the
+    generalised `paths`: that of the page's own best container if it is among them, else the first
+    that has text there. Without such, inside containers of the page's own best path."""
     blocks = parse(page or "")
-    if path is not None and (found := [b.text for b in blocks if not b.node.drop and _inside(b.node, path)]):
-        return "\n\n".join(found)
     best = best_container(blocks)
-    return "" if best is None else "\n\n".join(b.text for b in blocks if not b.node.drop and _inside(b.node, best.path))
+    if best is None:
+        return ""
+    own = best.hash.intdigest()
+    hashes = [xxhash.xxh64(p.encode("utf-8", "surrogatepass")).intdigest() for p in ([paths] if isinstance(paths, str) else paths or ())]
+    for path in [own] if own in hashes else [*hashes, own]:
+        if found := _text_in(blocks, path):
+            return "\n\n".join(found)
+    return ""
 
 
 def vote(page: str | None) -> tuple[str | None, float]:
@@ -252,7 +409,8 @@ def vote(page: str | None) -> tuple[str | None, float]:
 
 
 def host_paths(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """`host` and the `path` that most of its pages vote for; of equal votes the higher score, then
+    """`host` and its `paths`: those that at least a TEMPLATE_SHARE of its pages vote for (as many as its
+    templates), and always that of the most votes; more votes first, of equal votes the higher score, then
     the later path. Pages without text do not vote."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +421,11 @@ def host_paths(pages: DataFrame, url: str = "url", page: str = "html") -> DataFr
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("page"))
     votes = rows.mapInArrow(run, "host string, path string, score double").filter("path is not null")
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("score"))
-    return counted.groupBy("host").agg(F.max(F.struct("n", "score", "path"))["path"].alias("path"))
+    counted = materialize(counted, "html-votes")
+    of_host = counted.groupBy("host").agg(F.sum("n").alias("all"), F.max(F.struct("n", "score", "path"))["path"].alias("most"))
+    chosen = counted.join(of_host, "host").filter((F.col("n") >= TEMPLATE_SHARE * F.col("all")) | (F.col("path") == F.col("most")))
+    ranked = F.sort_array(F.collect_list(F.struct("n", "score", "path")), asc=False)
+    return chosen.groupBy("host").agg(F.transform(ranked, lambda x: x["path"]).alias("paths"))
 
 
 def extract_text(pages: DataFrame, keep: list[str], url: str = "url", page: str = "html") -> DataFrame:
@@ -280,7 +442,7 @@ def extract_text(pages: DataFrame, keep: list[str], url: str = "url", page: str
     paths = host_paths(pages, url, page)
     held = F.struct(*[F.col(c).alias(c) for c in keep]).alias("keep")
     rows = pages.select(held, F.col(page).alias("page"), host_of(F.col(url)).alias("host"))
-    rows = rows.join(broadcast_if_small(materialize(paths, "html-paths")), "host", "left").select("keep", "page", "path")
+    rows = rows.join(broadcast_if_small(materialize(paths, "html-paths")), "host", "left").select("keep", "page", "paths")
     kind = "struct<" + ",".join(f"`{c}`:{t}" for c, t in pages.select(*keep).dtypes) + ">"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,9 @@
 """Main text of pages: markup cases, host votes, and texts that must come through whole."""
 
+import random
+import time
+from html.parser import HTMLParser
+
 import pytest
 
 from colloquy.llm import html_text as ht
@@ -61,3 +65,78 @@ def test_hosts_vote(spark):
     assert (got[11].text, got[11].n_chars, got[12].text) == ("", 0, "x")
     assert ht.extract_text(df, ["page_id"]).count() == len(rows)
     assert ht.extract_text(df.limit(0), ["page_id"]).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<div class="content no-sidebar"><p>Main text</p></div>', "Main text"),
+        ('<div class="has-sidebar"><p>Main text</p><div class="sidebar">Side</div></div>', "Main text"),
+        ('<form action="/x"><div><p>Body of a page.</p><p>More.</p><input value=1><select><option>o</select></div></form>', "Body of a page.\n\nMore."),
+        ('<article><p>One</p><p class="notice-board">On the board</p><p class="notice">Notice!</p><p class="cookie-box">Cookies</p></article>', "One\n\nOn the board"),
+        ("<div><p>" + "intro " * 30 + "</p><blockquote><p>" + "cited " * 70 + "</p></blockquote></div>", ("intro " * 30).strip() + "\n\n" + ("cited " * 70).strip()),
+        ('<div class="sidebar-layout"><p>Main text</p></div><div class="sidebar">Side</div>', "Main text"),
+        ('<div class="sidebar"><p>Side</p></div><section class="ad">Buy</section>', ""),
+        ('<div><p>Short.</p></div><div class="comments"><p>' + "said " * 300 + "</p></div>", "Short."),
+    ],
+)
+def test_wrappers_and_words(page, want):
+    assert ht.extract(page) == want
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 100_000 + "x", "<a " * 200_000, '<a "' * 200_000, '<a ="' * 100_000 + ">", "</section>" * 50_000, "<b>" * 50_000 + "<p>x</p>" * 10_000, "<i><div>" * 30_000 + "</b>" * 30_000, "<!-- " * 100_000, "<ul>" + "<li>x" * 30_000],
+    ids=lambda p: p[:8],
+)
+def test_time_is_in_proportion(page):
+    began = time.process_time()
+    ht.extract(page)
+    assert time.process_time() - began < 12
+
+
+def test_plain_pages_equal_another_extractor():
+    """Articles of plain blocks between dropped parts, against the standard library's parser."""
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.depth, self.out, self.held = 0, [], ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("nav", "aside", "footer", "script") or ("class", "ad") in attrs:
+                self.depth += 1
+            elif tag in ("p", "h2", "li") and not self.depth:
+                self.held = ""
+
+        def handle_endtag(self, tag):
+            if tag in ("nav", "aside", "footer", "script", "section"):
+                self.depth -= 1
+            elif tag in ("p", "h2", "li") and not self.depth and " ".join(self.held.split()):
+                self.out.append(" ".join(self.held.split()))
+
+        def handle_data(self, data):
+            self.held += "" if self.depth else data
+
+    r = random.Random(7)
+    words = ["one", "caf&eacute;", "a &amp; b", "<b>bold</b>", "<a href='x>y'>link</a>", "&lt;tag&gt;", "x<br>y", "l\n  m", "&#x263A;"]
+    line = lambda: " ".join(r.choice(words) for _ in range(r.randint(1, 25)))
+    for _ in range(200):
+        parts = []
+        for _ in range(r.randint(2, 12)):
+            kind = r.choice(["p", "p", "h2", "li", "nav", "aside", "script", "ad"])
+            parts.append(f"<section class='ad'><p>{line()}</p></section>" if kind == "ad" else f"<script>if (a < b) x = '<p>no</p>'</script>" if kind == "script" else f"<{kind}><p>{line()}</p></{kind}>" if kind in ("nav", "aside") else f"<{kind}>{line()}</{kind}>")
+        page = f"<html><body><nav><p>menu</p></nav><article>{''.join(parts)}</article><footer><p>foot</p></footer></body></html>"
+        plain = Plain()
+        plain.feed(page.replace("<br>", " "))
+        plain.close()
+        assert ht.extract(page) == "\n\n".join(plain.out)
+
+
+def test_two_templates_of_a_host(spark):
+    story = "A sentence of the story, long enough to count." * 9
+    a = "<div class='story'><p>{}</p></div>"
+    b = "<div class='story'><p>Teaser.</p></div><div class='report'><p>{}</p></div>"
+    rows = [(i, "http://h.test/a", (a if i % 2 else b).format(f"{story} {i}")) for i in range(8)]
+    got = {r.page_id: r.text for r in ht.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
+    assert got == {i: f"{story} {i}" for i in range(8)}
