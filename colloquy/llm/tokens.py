@@ -12,14 +12,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text tokenized at once; a longer text is cut at white space.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 5 << 20
 #: Distinct words, and bytes of them, that are remembered; beyond, those met once are forgotten.
-MEMORY_WORDS = 1_500_000
-MEMORY_BYTES = 32 << 20
+MEMORY_WORDS = 800_000
+MEMORY_BYTES = 16 << 20
 #: Words in one request to the tokenizer.
 JOINED = 64
 #: Words whose ids are put together at once.
-GATHERED = 1 << 20
+GATHERED = 1 << 18
 #: Marks that such a tokenizer parts from letters before them.
 MARKS = ".,;:!?"
 #: Words of these letters only are one word to the tokenizer, whatever its Unicode tables: Latin (but for
