@@ -39,6 +39,10 @@ def signals(meetings: DataFrame) -> DataFrame:
     return meetings.filter("timeline_signal <> ''").select("date", "title", F.col("timeline_signal").alias("signal"), "batch", "pos")
 
 
+#: An id that was renamed before: the id and its number.
+NUMBERED = r"(?s)^(.+)-([0-9]{1,9})$"
+
+
 def tasks(models: DataFrame, instances: DataFrame, split_above: int = SPLIT_ABOVE, fold_below: int = FOLD_BELOW) -> DataFrame:
     """`kind` (model, instance), `owner`, `category`, `task_key` of all items. models: `owner` (the
     first holder), `category`; instances likewise. An owner with more than `split_above` instances is
@@ -65,9 +69,13 @@ def merge_models(base: DataFrame, assigned: DataFrame, synthesized: DataFrame) -
     replaced = assigned.join(synthesized.select("key").distinct(), "key", "left_semi").select("id").distinct()
     carried = base.join(replaced, "id", "left_anti")
     taken = carried.select("id").distinct().withColumn("taken", F.lit(1))
-    nth = F.row_number().over(W.partitionBy("id").orderBy("key", "pos")) + F.coalesce("taken", F.lit(0))
-    new = good.join(taken, "id", "left").withColumn("nth", nth)
-    new = new.withColumn("renamed_from", F.when(F.col("nth") > 1, F.col("id"))).withColumn("id", F.when(F.col("nth") > 1, F.concat_ws("-", "id", F.col("nth").cast("string"))).otherwise(F.col("id")))
+    numbered = carried.select("id").unionByName(good.select("id")).select(F.regexp_extract("id", NUMBERED, 1).alias("id"), F.regexp_extract("id", NUMBERED, 2).try_cast("long").alias("k"))
+    highest = numbered.filter("id <> ''").groupBy("id").agg(F.max("k").alias("highest"))
+    new = good.join(taken, "id", "left").join(highest, "id", "left")
+    nth = F.row_number().over(W.partitionBy("id").orderBy("key", "pos")) + F.coalesce("taken", F.lit(0)) - 1
+    new = new.withColumn("nth", nth)
+    other = F.concat_ws("-", "id", (F.greatest(F.coalesce("highest", F.lit(1)), F.lit(1)) + F.col("nth")).cast("string"))
+    new = new.withColumn("renamed_from", F.when(F.col("nth") > 0, F.col("id"))).withColumn("id", F.when(F.col("nth") > 0, other).otherwise(F.col("id")))
     columns = [c for c in base.columns]
     return carried.select(*columns, F.lit(None).cast("string").alias("renamed_from")).unionByName(new.select(*columns, "renamed_from"))
 

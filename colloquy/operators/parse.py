@@ -21,6 +21,9 @@ SHAPES = (
 )
 LOOKS_SPOKEN = rf"(?U)^\s*(?:\*{{0,2}}\s*\[?[^\n]{{0,40}}?\({OFFSET}\)|\[{OFFSET})"
 COMMITMENT = r"(?U)^-\s*\[([ xX])\]\s*(?:\(([^)→>]*?)(?:→|->)([^)]*)\)\s*)?(.+?)(?:\s*\((?:기한|due)[:\s]*([0-9./-]+)\))?\s*$"
+#: Ranges that rows are numbered in at most, and sampled values for each.
+MOST_RANGES = 256
+SAMPLED = 64
 LINE_ENDS = r"\R|[\x1c-\x1e]"
 FRONTMATTER = r"(?sU)^---\s*\n(.*?)\n---\s*\n"
 
@@ -48,8 +51,8 @@ def value_list(raw: Column) -> Column:
     return F.when(F.coalesce(raw, F.lit("")) == "", F.array().cast("array<string>")).when(raw.rlike(r"(?s)^\[.*\]$"), parts).otherwise(F.array(raw))
 
 
-def meetings(files: DataFrame) -> DataFrame:
-    """One row per readable transcript; `rowid` numbers them by path. The category is kept raw and
+def meetings(files: DataFrame, numbered: bool = True) -> DataFrame:
+    """One row per readable transcript; `rowid` numbers them by path (unless `numbered` is false). The category is kept raw and
     canonical; `participant_list` and `body` go on to the next operators."""
     fm = files.filter("readable").select("path", "content", frontmatter(F.col("content")).alias("fm"))
     get = lambda k: F.coalesce(F.element_at("fm", k), F.lit(""))
@@ -68,19 +71,30 @@ def meetings(files: DataFrame) -> DataFrame:
         F.array_join(people, ", ").alias("participants"),
         body(F.col("content")).alias("body"),
     )
-    return number_rows(rows, "path", "rowid")
+    return number_rows(rows, "path", "rowid") if numbered else rows
 
 
 def number_rows(df: DataFrame, by: str, out: str) -> DataFrame:
-    """`df` with its rows numbered from 1 in the order of the unique column `by`, without one task
-    for all rows: a range sort, the counts of its partitions, and each row's place in its own."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number is never coalesced, so both uses agree
-    ranged = df.repartitionByRange(n, F.col(by)).sortWithinPartitions(by)
-    placed = ranged.withColumn("_p", F.spark_partition_id())
-    placed = placed.withColumn("_i", F.monotonically_increasing_id() - F.col("_p").cast("long") * F.lit(1 << 33))
-    counts = placed.groupBy("_p").agg(F.count("*").alias("_n"))
+    """`df` with its rows numbered from 1 in the order of the unique string column `by` (null first),
+    without one task for all rows: ranges of values, their counts, and each row's place in its own.
+
+    The bounds of the ranges are values, picked once from a small sample by hash, so a row's number
+    is the same whatever columns a plan asks for and however often it is planned.
+    """
+    n = min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = df.select(F.col(by).alias("k")).filter("k is not null")
+    sample = sorted(r.k for r in keys.orderBy(F.xxhash64("k"), "k").limit(SAMPLED * n).collect())
+    cuts = sorted({sample[i * len(sample) // n] for i in range(1, n)}) if sample else []
+    terms = [(F.coalesce(F.col("k") >= F.lit(c), F.lit(False))).cast("int") for c in cuts] or [F.lit(0)]
+    while len(terms) > 1:  # a flat tree of sums
+        terms = [sum(terms[i + 1 : i + 2], terms[i]) for i in range(0, len(terms), 2)]
+    # Only the values are sorted; what belongs to them is joined by value.
+    ranged = df.select(F.col(by).alias("k")).withColumn("_p", terms[0])
+    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_before"))
-    return placed.join(F.broadcast(before), "_p").withColumn(out, F.col("_before") + F.col("_i") + 1).drop("_p", "_i", "_before")
+    placed = ranged.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy("k"))).join(F.broadcast(before), "_p")
+    numbers = placed.select(F.col("k").alias("_k"), (F.col("_before") + F.col("_i")).cast("long").alias(out))
+    return df.join(numbers, F.col(by).eqNullSafe(F.col("_k"))).drop("_k")
 
 
 def spoken(line: Column) -> Column:

@@ -339,7 +339,7 @@ def frontmatter_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     head = F.concat(F.lit("---\nsource_id: first\nsource_id: "), "source", F.lit('\ntitle: "'), "lang", F.lit('"\nduration_min: '), F.col("n_chars").cast("string"), F.lit('\nparticipants: ["'), "source", F.lit('", '), "lang", F.lit("]\n---\n"), F.coalesce("text", F.lit("")))
     files = d.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), head.alias("content"), F.lit(True).alias("readable"))
-    return parse.meetings(files).select("path", "source_id", "title", "duration_min", "participants")
+    return parse.meetings(files, numbered=False).select("path", "source_id", "title", "duration_min", "participants")
 
 
 @query("""WITH i AS (SELECT CAST(l_suppkey AS VARCHAR) AS owner, l_returnflag || l_linestatus AS category, count(*) OVER (PARTITION BY l_suppkey) AS o, count(*) OVER (PARTITION BY l_suppkey, l_returnflag || l_linestatus) AS c FROM lineitem)
