@@ -25,45 +25,46 @@ def rows(df, *columns):
 
 
 def test_utterances(tables):
-    assert tables["meetings"].count() == 9
-    assert tables["utterances"].count() == 20
-    first = {r.rowid: r.path for r in tables["meetings"].collect()}
-    assert [first[i].rpartition("/")[2] for i in sorted(first)] == sorted(corpus.TRANSCRIPTS)
+    paths = {r.rowid: r.path for r in tables["meetings"].collect()}
+    assert paths == {i: corpus.path(talk) for i, talk in enumerate(corpus.TALKS, 1)}
     said = tables["utterances"].orderBy("utt_id").collect()
-    assert [(u.speaker, u.ts, u.kind) for u in said[:9]] == [
-        ("정우진", "0:01", "canonical"), ("정우진", "0:05", "canonical"), ("정우진", "0:09", "canonical"), ("정우진", "0:12", "canonical"), ("Speaker 2", "0:20", "generic"),
-        ("이서연", "1:02:03", "canonical"), ("", "0:30", "unattributed"), ("김밖", "0:31", "raw-name"), ("이서연", "0:40", "canonical"),
-    ]
-    assert [(u.speaker, u.ts, u.text) for u in said if u.meeting_rowid == 3] == [("정우진", "0:00", "다음 줄의 말"), ("이서연", "00:01", "두 번째")]
-    assert [u.ts for u in said if u.meeting_rowid == 2] == ["0:00", "0:05", "0:10"]
+    assert [(u.meeting_rowid, u.speaker, u.ts, u.text, u.kind) for u in said] == [(i, x.speaker, x.ts, x.text.replace("\n", " "), x.kind) for i, x in corpus.SAID]
 
 
 def test_commitments_and_meetings(tables):
-    assert rows(tables["commitments"], "done", "from_person", "to_person", "due") == [(0, "정우진", "이서연", "2026-05-27"), (1, "이서연", "정우진", "")]
-    assert [r.duration_min for r in tables["meetings"].orderBy("rowid").collect()][:2] == [62, None]
-    assert rows(tables["meetings"].filter("rowid in (1, 2, 5, 7)"), "rowid", "category", "category_raw") == [(1, "내부-전략", "회의"), (2, "개인-통화", "통화"), (5, "강연-세미나", "세미나"), (7, "기타", "없는분류")]
-    assert [r.paths for r in grounding.duplicate_sources(tables["meetings"]).collect()] == [[f"transcripts/2026/2026-05/2026-05-24_e{i}.md" for i in (1, 2)]]
+    assert rows(tables["commitments"], "done", "from_person", "to_person", "due") == [(0, corpus.MATEO, corpus.INES, "2025-09-09"), (1, corpus.INES, corpus.PRIYA, "")]
+    met = {r.path.rpartition("/")[2][11:-3]: r for r in tables["meetings"].collect()}
+    assert (met["seed-bank"].duration_min, met["telephone"].duration_min) == (45, None)
+    kinds = {"seed-bank": "내부-전략", "walk": "외부-파트너", "telephone": "개인-통화", "lecture-b": "강연-세미나", "stocktaking-1": "기타", "import": "내부-전략"}
+    assert {k: met[k].category for k in kinds} == kinds and met["stocktaking-1"].category_raw == "unheard of"
+    lectures = sorted(corpus.path(talk) for talk in corpus.TALKS if talk.slug.startswith("lecture"))
+    assert [r.paths for r in grounding.duplicate_sources(tables["meetings"]).collect()] == [lectures]
     lost = {r.rowid: (r.lost_lines, r.continuations, r.empty_headers) for r in tables["discarded"].collect()}
-    assert lost[3] == (0, 0, 1) and lost[5] == (0, 1, 0)
+    assert lost[met["walk"].rowid] == (0, 0, 1) and lost[met["lecture-a"].rowid] == (0, 1, 0) and lost[met["seed-bank"].rowid] == (1, 0, 0)
 
 
 def test_people_edges_and_aliases(tables):
     people = {r.name: r for r in tables["people"].collect()}
-    assert (people["이서연"].tier, people["이서연"].relationship, people["이서연"].team, people["이서연"].evidence) == ("core", "팀원", "제품본부", "mid")
-    assert set(people) == {"정우진", "이서연", "박도현", "넥스트라"}
-    assert rows(tables["network"], "a", "b", "kind", "note") == [("박도현", "이서연", "소개", "동문"), ("이서연", "정우진", "보고", "제품본부")]
-    assert {r.alias: r.canonical for r in tables["person_aliases"].collect()}["james"] == "정우진"
+    apprentice = people[corpus.MATEO]
+    assert (apprentice.tier, apprentice.relationship, apprentice.team, apprentice.evidence) == ("core", "apprentice", "Collections", "mid")
+    assert set(people) == {corpus.INES, corpus.MATEO, corpus.PRIYA, corpus.TARN}
+    assert rows(tables["network"], "a", "b", "kind", "note") == [(corpus.MATEO, corpus.INES, "보고", "Collections"), (corpus.PRIYA, corpus.MATEO, "소개", "cousins")]
+    aliases = {r.alias: r.canonical for r in tables["person_aliases"].collect()}
+    assert (aliases["nessa"], aliases["matti"], aliases["priya raman"]) == (corpus.INES, corpus.MATEO, corpus.PRIYA)
     met = {(r.person, r.meeting_rowid): r.src for r in tables["person_meetings"].collect()}
-    assert met["정우진", 1] == "speaker" and met["정우진", 2] == "participant" and ("김밖", 1) in met and ("A", 9) not in met and ("담당자", 9) not in met
-    assert rows(tables["bets"], "tag", "source") == [("b0", None), ("b1", "m1, m2")] or rows(tables["bets"].filter("tag = 'b1'"), "source") == [("m1, m2",)]
+    spoke = {(x.speaker, i) for i, x in corpus.SAID if x.kind in ("canonical", "raw-name")}
+    listed = {(name, i) for i, talk in enumerate(corpus.TALKS, 1) if "participants" in talk.head for name in (corpus.INES, corpus.MATEO)}
+    of_people = {k: src for k, src in met.items() if not k[0].startswith("화자")}
+    assert of_people == dict.fromkeys(listed, "participant") | dict.fromkeys(spoke, "speaker")
+    assert rows(tables["bets"].filter("tag = 'now'"), "source") == [("t1, t4",)]
 
 
 def test_ambiguous_alias_is_dropped_for_all(spark, tmp_path):
-    registry = [{"name": "김하나", "aliases": ["하나"]}, {"name": "이하나", "aliases": ["하나", "HANA"]}]
+    registry = [{"name": "Rowan Ash", "aliases": ["Ro", "Ashy"]}, {"name": "Rosalind Birch", "aliases": ["RO"]}]
     out = build.build(spark, corpus.write(tmp_path, registry=registry))
     aliases = {r.alias for r in out["person_aliases"].collect()}
-    assert "하나" not in aliases and {"hana", "김하나"} <= aliases
-    assert [tuple(r) for r in out["aliases_dropped"].collect()] == [("하나", ["김하나", "이하나"])]
+    assert "ro" not in aliases and {"ashy", "rosalind birch"} <= aliases
+    assert [tuple(r) for r in out["aliases_dropped"].collect()] == [("ro", ["Rosalind Birch", "Rowan Ash"])]
 
 
 def test_absent_and_broken_documents(spark, tmp_path):
@@ -98,8 +99,8 @@ def test_frontmatter(spark):
 def test_search(spark, tables):
     index = search.token_index(tables["utterances"], "utt_id", ["speaker", "text"])
     n = lambda df: df.count()
-    assert n(search.match_all(index, "utt_id", ["별칭"])) == 2
-    assert n(search.match_all(index, "utt_id", ["정우진"])) > n(search.match_all(index, "utt_id", ["정우진"], ["text"])) == 0
+    assert n(search.match_all(index, "utt_id", ["compost"])) == 2
+    assert n(search.match_all(index, "utt_id", ["okafor"])) > n(search.match_all(index, "utt_id", ["okafor"], ["text"])) == 0
     small = spark.createDataFrame([(1, "a b a b c"), (2, "b a"), (3, "Abc déjà"), (4, None)], "utt_id long, text string")
     ix = search.token_index(small, "utt_id", ["text"])
     ids = lambda df: sorted(r.utt_id for r in df.collect())
@@ -111,61 +112,65 @@ def test_search(spark, tables):
 
 
 def test_recipes(tables):
-    assert rows(recipes.resolve_label(tables, "JAMES"), "canonical") == [("정우진",)]
-    assert [r.title for r in recipes.person_profile(tables, "정우진").collect()] == ["속도", "가치 먼저"]
-    assert rows(recipes.beliefs_about(tables, "넥스"), "title", "held_by") == [("가치 먼저", "정우진")]
-    assert rows(recipes.tensions(tables), "topic") == [("일정",)]
-    assert recipes.search_utterances(tables, ["별칭"]).count() == 2 and recipes.search_substring(tables, "별칭").count() == 2
-    assert [tuple(r) for r in recipes.topic_owners(tables, ["별칭"]).collect()] == [("정우진", 2)]
-    assert recipes.meetings_between(tables, "2026-05-20", "2026-05-21", "회의").count() == 1
-    assert recipes.meetings_between(tables, "2026-05-01", "2026-05-31", "내부-전략", canonical=True).count() == 2
-    assert [r.title for r in recipes.interactions(tables, "정우진").collect()][0] == "오염"
-    assert {r.person for r in recipes.neglected(tables).collect()} == {"정우진", "이서연"}
-    assert [tuple(r) for r in recipes.met_with(tables, "정우진", 1).collect()] == [("이서연", 4)]
-    assert recipes.network_of(tables, "서연").count() == 2 and recipes.introductions(tables).count() == 1
-    assert rows(recipes.open_commitments(tables), "text") == [("보고서 작성",)]
-    assert recipes.report_lines(tables).count() == 1 and rows(recipes.team_rosters(tables), "names") == [("이서연",)] and recipes.by_relationship(tables).count() == 1
+    ines, mateo = corpus.INES, corpus.MATEO
+    assert rows(recipes.resolve_label(tables, "NESSA"), "canonical") == [(ines,)]
+    assert [r.title for r in recipes.person_profile(tables, ines).collect()] == ["No peat", "Water early"]
+    assert rows(recipes.beliefs_about(tables, "Tarn"), "title", "held_by") == [("Water early", ines)]
+    assert rows(recipes.tensions(tables), "topic") == [("compost",)]
+    told = [x for _, x in corpus.SAID if "compost" in x.text]
+    assert recipes.search_utterances(tables, ["compost"]).count() == recipes.search_substring(tables, "compos").count() == len(told)
+    assert rows(recipes.topic_owners(tables, ["compost"]), *recipes.topic_owners(tables, ["compost"]).columns) == sorted((x.speaker, 1) for x in told)
+    assert recipes.meetings_between(tables, "2025-09-01", "2025-10-06", "회의").count() == 1
+    assert recipes.meetings_between(tables, "2025-09-02", "2025-11-24", "내부-전략", canonical=True).count() == 2
+    assert [r.title for r in recipes.interactions(tables, ines).collect()][0] == "import"
+    assert {r.person for r in recipes.neglected(tables).collect()} == {ines, mateo}
+    assert [tuple(r) for r in recipes.met_with(tables, ines, 1).collect()] == [(mateo, 3)]
+    assert recipes.network_of(tables, "Mateo").count() == 2 and recipes.introductions(tables).count() == 1
+    assert rows(recipes.open_commitments(tables), "text") == [("Order peat",)]
+    assert recipes.report_lines(tables).count() == 1 and rows(recipes.team_rosters(tables), "names") == [(mateo,)] and recipes.by_relationship(tables).count() == 1
     assert [r.status for r in recipes.bets_register(tables).collect()] == ["진행중", "보류"] and [r.level for r in recipes.risks_register(tables).collect()] == ["high", "mid"]
-    assert [(r.total, r.unresolved) for r in recipes.backfill_ranking(tables).collect()] == [(3, 3)]
-    assert sum(r.n for r in recipes.attribution(tables).collect()) == 20
-    assert recipes.pain_terms(tables, ["별칭"]).first().n == 2
+    assert [(r.total, r.unresolved) for r in recipes.backfill_ranking(tables).collect()] == [(4, 4)]
+    assert sum(r.n for r in recipes.attribution(tables).collect()) == len(corpus.SAID)
+    assert recipes.pain_terms(tables, ["compost"]).first().n == len(told)
     assert recipes.evolution(tables).count() == 1
 
 
 def test_dossiers_and_reports(spark, tables, tmp_path):
-    assert {(r.person, r.id): r.place for r in recipes.dossier_models(tables).collect()} == {("정우진", "speed"): 1, ("정우진", "value-first"): 2, ("이서연", "quality"): 1}
+    ines, mateo = corpus.INES, corpus.MATEO
+    assert {(r.person, r.id): r.place for r in recipes.dossier_models(tables).collect()} == {(ines, "peat-free"): 1, (ines, "water-early"): 2, (mateo, "label-all"): 1}
     peers = {(r.person, r.peer): r.n for r in recipes.dossier_peers(tables).collect()}
-    assert peers["정우진", "이서연"] == 4 and not any(p == "Speaker 2" for _, p in peers)
+    assert peers[ines, mateo] == peers[mateo, ines] == 3 and peers[ines, corpus.PRIYA] == 2 and not any(p.startswith("화자") for _, p in peers)
     assert recipes.dossier_relations(tables).count() == 2 and recipes.dossier_network(tables).count() == 4 and recipes.dossier_open_loops(tables).count() == 2
-    met = recipes.dossier_meetings(tables, 2).filter("person = '정우진'").collect()
-    assert len(met) == 2 and met[0].more == met[0].total - 2 > 0
+    met = recipes.dossier_meetings(tables, 2).filter(F.col("person") == ines).collect()
+    assert len(met) == 2 and (met[0].total, met[0].more) == (7, 5)
     registry = files.json_document(spark, corpus.write(tmp_path) + "/_meta/speakers.json", schemas.REGISTRY)
-    assert [tuple(r)[:2] for r in recipes.contacts(tables, registry).collect()] == [("김밖", 1)]
+    assert [tuple(r)[:2] for r in recipes.contacts(tables, registry).collect()] == [("Olu Bright", 1)]
     counts = {(r.by, r.value): r.n for r in recipes.index_counts(tables).collect()}
-    assert counts["all", ""] == 9 and counts["month", "2026-05"] == 9 and counts["category", "내부-전략"] == 2
-    assert {r.id: r.assertion for r in recipes.assertions(tables).collect()} == {"value-first": "assert", "speed": "hedge", "quality": "admit"}
-    assert report.index_lines(tables).count() == 9 + len(counts)
-    lines = report.dossier_lines(tables).filter("person = '정우진'").orderBy("ord").collect()
-    assert lines[0].line.startswith("# 정우진: ") and any("with 이서연 ×4" in r.line for r in lines)
-    old = spark.createDataFrame([("정우진", "x\n<!-- a -->\nmine\n<!-- b -->\ny")], "person string, content string")
-    kept = report.with_manual_block(report.dossier_lines(tables), old, "<!-- a -->", "<!-- b -->")
-    assert kept.filter("ord.g = 9").first().line == "<!-- a -->\nmine\n<!-- b -->"
+    months = {m: sum(talk.date.startswith(m) for talk in corpus.TALKS) for m in ("2025-09", "2025-10", "2025-11")}
+    assert counts["all", ""] == len(corpus.TALKS) and {v: n for (by, v), n in counts.items() if by == "month"} == months and counts["category", "내부-전략"] == 2
+    assert {r.id: r.assertion for r in recipes.assertions(tables).collect()} == {"peat-free": "assert", "water-early": "hedge", "label-all": "admit"}
+    assert report.index_lines(tables).count() == len(corpus.TALKS) + len(counts)
+    lines = report.dossier_lines(tables).filter(F.col("person") == ines).orderBy("ord").collect()
+    assert lines[0].line.startswith(f"# {ines}: ") and any(f"with {mateo} ×3" in r.line for r in lines)
+    old = spark.createDataFrame([(ines, "top\n<!-- keep -->\nby hand\n<!-- /keep -->\nend")], "person string, content string")
+    kept = report.with_manual_block(report.dossier_lines(tables), old, "<!-- keep -->", "<!-- /keep -->")
+    assert kept.filter("ord.g = 9").first().line == "<!-- keep -->\nby hand\n<!-- /keep -->"
     notes = report.personal_notes(registry).orderBy("pos").collect()
-    assert [(r.note, r.mark, r.caution) for r in notes] == [("등산", "", False), ("이사", "△", True)]
-    assert build.catalog(tables["meetings"]).first().vault_link == "2026-05-26_g"
+    assert [(r.note, r.mark, r.caution) for r in notes] == [("keeps bees", "", False), ("moved house", "△", True)]
+    assert build.catalog(tables["meetings"]).first().vault_link == "2025-11-24-import"
 
 
 def test_text_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(t.norm(F.lit(" a　\tbÅ "))) == "a bÅ"
-    assert one(t.variants(F.lit("James (정우진)"))) == ["James (정우진)", "James", "정우진"]
+    assert one(t.variants(F.lit("Nessa (Ines Okafor)"))) == ["Nessa (Ines Okafor)", "Nessa", "Ines Okafor"]
     assert one(t.strip_wrappers(F.lit("[['\\uc815우진']]"))) == "정우진"
-    assert [one(t.clean_participant(F.lit(x))) for x in ("담당자", "A", "화자 3", "홍길동")] == ["", "", "", "홍길동"]
+    assert [one(t.clean_participant(F.lit(x))) for x in ("고객", "B", "화자 7", "Olu")] == ["", "", "", "Olu"]
     assert one(t.fragments(F.lit("짧다...여섯 글자 넘는 말…또 다른 여섯 글자"))) == ["여섯 글자 넘는 말", "또 다른 여섯 글자"]
     assert one(t.longest_tokens(F.lit("bb a aaa ccc dddd dddd"), 3)) == ["dddd", "aaa", "ccc"]
     assert one(t.iso_date(F.lit("2026-06"))) is None and str(one(t.iso_date(F.lit("2026-06-01T10")))) == "2026-06-01"
     assert one(t.integer(F.lit(" 10 "))) is None and one(t.integer(F.lit("10"))) == 10
-    assert [one(t.body_safe(F.lit(x))) for x in ("Al", "Ali", "우진", "진")] == [False, True, True, False]
+    assert [one(t.body_safe(F.lit(x))) for x in ("Bo", "Bob", "나무", "숲")] == [False, True, True, False]
     assert one(t.base_name(F.lit("a/b.c.md"))) == "b.c" and one(t.file_safe(F.lit("a/b:c"))) == "a-b-c"
     assert one(t.similarity(F.lit("abcd"), F.lit("abce"))) == 0.75
     assert [one(t.category(F.lit(x))) for x in (None, " IR ", "인터뷰", "x")] == ["기타", "외부-투자IR", "인터뷰", "기타"]
