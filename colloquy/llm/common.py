@@ -21,11 +21,14 @@ BROADCAST_ROWS = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`.
 
-    Where the session has none (tests, a laptop) one is made on this machine and remembered in
-    the session, so that all operators of the session use the same folder.
+    Where a local session has none (tests, a laptop) one is made on this machine and remembered in
+    the session, so that all operators of the session use the same folder. On a cluster it must be
+    set: executors would write into folders of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("colloquy.shared.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="colloquy-")
         spark.conf.set("colloquy.shared.dir", found)
     return found.rstrip("/")
