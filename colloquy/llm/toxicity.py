@@ -32,10 +32,12 @@ STEPS = 30
 #: A text is taken to be toxic from this score on.
 TOXIC_AT = 0.3
 #: Distinct words whose features are remembered, before the memory is emptied, and the longest such word.
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 200_000
 MEMORY_LENGTH = 64
 #: Code points hashed at once, so that the memory of a long text is bounded.
-CHUNK = 1 << 19
+CHUNK = 1 << 16
+#: Bytes of texts, or one text, whose words are held at once.
+TEXTS_AT_ONCE = 1 << 19
 
 
 def words_of(text: str | None) -> set[str]:
@@ -71,6 +73,18 @@ def gram_buckets(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.concatenate(found), np.concatenate(owners)
 
 
+def blocks(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts in order, in blocks of about TEXTS_AT_ONCE bytes."""
+    block, size = [], 0
+    for x in texts:
+        block.append(x.as_py())
+        size += len(block[-1] or "")
+        if size >= TEXTS_AT_ONCE:
+            yield block
+            block, size = [], 0
+    yield block
+
+
 def distinct_buckets(text: str | None) -> np.ndarray:
     """Distinct buckets of a text's n-grams, ascending."""
     found = [np.unique(b) for b, _ in gram_buckets(list(words_of(text)))]
@@ -210,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(names)
         for batch in batches:
-            found = [np.array(sorted(x), np.int32) for x in features.of(batch.column(1).to_pylist())]
+            found = [np.array(sorted(x), np.int32) for block in blocks(batch.column(1)) for x in features.of(block)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "places"])
 
     small = held.mapInArrow(select, "toxic int, places array<int>").toArrow()
@@ -266,7 +280,7 @@ def add_scores(docs: DataFrame, model: ToxicityModel, text: str, out: str) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(model.names)
         for batch in batches:
-            scores = model.scores(features.of(batch.column(n).to_pylist()))
+            scores = np.concatenate([model.scores(features.of(block)) for block in blocks(batch.column(n))])
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(scores)], names=schema.names)
 
     return docs.withColumn(fresh_name(docs.columns, "_body"), F.col(text)).mapInArrow(run, schema)
