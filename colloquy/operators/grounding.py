@@ -7,11 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..sources import storage
 from . import search
+from .common_part import best_shares
+from .stored_index import StoredIndex
 
 GROUNDED_AT = 0.55
 RAREST = 2
 CANDIDATES = 400
+#: Quotes that are compared with all documents at once.
+QUOTES_AT_ONCE = 10_000
 
 
 def ground_quotes(models: DataFrame, utterances: DataFrame, autojunk: bool = True, candidates: int | None = CANDIDATES) -> DataFrame:
@@ -19,32 +24,62 @@ def ground_quotes(models: DataFrame, utterances: DataFrame, autojunk: bool = Tru
     holds. Candidates are the utterances with one of its two rarest tokens, the first `candidates` of
     each by utterance. Scores are computed for candidates only.
 
-    candidates None: all utterances with one of the two rarest of all tokens, made as the index makes
-    them. The outer tokens of a quote may be parts of longer ones and count only where there are no
-    others, so an utterance that holds the whole quote is always a candidate."""
+    candidates None: the exact score over all utterances, by the passages' automaton; no character is
+    passed over then (autojunk must be False), and ids are unique."""
     quoted = models.filter("trim(coalesce(quote, '')) <> ''").select("id", t.strip(F.col("quote")).alias("quote"))
     quoted = quoted.withColumn("parts", F.transform(t.fragments(F.col("quote")), t.bare))
+    if candidates is None:
+        if autojunk:
+            raise ValueError("the exact score passes over no characters")
+        best = best_shares(quoted.select("id", "parts"), utterances.select(t.bare(F.col("text")).alias("text")))
+        return _scored(quoted, best)
     index = search.token_index(utterances, "utt_id", ["speaker", "text"])
     said = t.longest_tokens(F.col("quote"))
-    if candidates is None:
-        every = t.tokens(F.col("quote"))
-        said = F.array_distinct(F.when(F.size(every) > 2, F.slice(every, 2, F.greatest(F.size(every) - 2, F.lit(0)))).otherwise(every))
     wanted = quoted.select("id", F.explode_outer(said).alias("said")).filter("said is not null")
     wanted = wanted.withColumn("token", F.lower("said"))
     needed = index.join(wanted.select("token").distinct(), "token", "left_semi").select("token", "utt_id").distinct()
     counts = needed.groupBy("token").agg(F.count("*").alias("n"))
     rare = wanted.join(counts, "token").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("n", "said"))).filter(F.col("r") <= RAREST)
-    if candidates is not None:
-        # Only tokens that some quote looks up, and a running number instead of a gathered list.
-        needed = needed.join(rare.select("token").distinct(), "token", "left_semi")
-        needed = needed.withColumn("c", F.row_number().over(W.partitionBy("token").orderBy("utt_id"))).filter(F.col("c") <= candidates).drop("c")
+    # Only tokens that some quote looks up, and a running number instead of a gathered list.
+    needed = needed.join(rare.select("token").distinct(), "token", "left_semi")
+    needed = needed.withColumn("c", F.row_number().over(W.partitionBy("token").orderBy("utt_id"))).filter(F.col("c") <= candidates).drop("c")
     pairs = rare.select("id", "token").join(needed, "token").select("id", "utt_id").distinct()
     tried = pairs.join(utterances.select("utt_id", t.bare(F.col("text")).alias("said")), "utt_id").join(quoted.select("id", "parts"), "id")
     best = tried.withColumn("score", t.grounding_score(autojunk)(F.col("parts"), F.col("said"))).groupBy("id").agg(F.max("score").alias("score"))
+    return _scored(quoted, best)
+
+
+def _scored(quoted: DataFrame, best: DataFrame) -> DataFrame:
+    """All quotes with their best score, 0 if none, and whether that is enough."""
     out = quoted.select("id").join(best, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
     return out.withColumn("grounded", F.col("score") >= GROUNDED_AT)
 
 
+def verbatim(quotes: DataFrame, docs: DataFrame, index: StoredIndex, column: str, block: int = QUOTES_AT_ONCE) -> DataFrame:
+    """`id`, key of the index, once each, for quotes (`id`, `quote`) that stand in documents as they are.
+
+    The outer tokens of a quote may be parts of longer ones in a document; of those between, the rarest
+    leads to the documents that may have it, through the stored index. A quote with none between is
+    compared with all documents, in blocks of quotes. An empty quote stands in every text; null ones and
+    null texts in none."""
+    key = index.key
+    texts = docs.filter(F.col(column).isNotNull()).select(key, F.col(column).alias("_text"))
+    quotes, _ = storage.materialize(quotes.filter("quote is not null").select("id", "quote", F.array_distinct(F.slice(t.tokens(F.col("quote")), 2, F.greatest(F.size(t.tokens(F.col("quote"))) - 2, F.lit(0)))).alias("inner")), "quotes")
+    wanted = quotes.select("id", F.explode("inner").alias("token"))
+    counts = index.directory([column])
+    # A token that no document has has no row in the directory; nor can its quote be anywhere.
+    known = wanted.join(counts, "token", "left").groupBy("id").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.count_if(F.col("n").isNull()).alias("unknown"))
+    rarest = known.filter("unknown = 0").select("id", "token")
+    pairs = index.keys_of(rarest, [column])
+    found = pairs.join(texts, key).join(quotes.select("id", "quote"), "id").filter(F.contains("_text", "quote")).select("id", key)
+    short = quotes.filter(F.size("inner") == 0).select("id", "quote")
+    blocks = -(-short.count() // block)
+    for b in range(blocks):
+        mine = short.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
+        found = found.unionByName(texts.join(F.broadcast(mine), F.contains("_text", "quote")).select("id", key))
+    return found.distinct()
+
+
 def stale(models: DataFrame, meetings: DataFrame, days: int = 180) -> DataFrame:
     """`id`, `seen` of models last seen more than `days` before the newest meeting."""
     newest = meetings.agg(F.max(t.iso_date(F.col("date"))).alias("newest"))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..sources.files import section
 from .resolve import union
+from .title_match import best_titles
 
 SIMILAR_AT = 0.55
 
@@ -74,7 +74,7 @@ def match_meetings(meetings: DataFrame, catalog: DataFrame, similar_at: float =
     open_ones = meetings.filter(F.coalesce("source_id", F.lit("")) == "").select("pos", F.coalesce("date", F.lit("")).alias("date"), t.slug(F.coalesce("title", F.lit(""))).alias("slug"))
     # Equal titles of a date are scored once, for the first entry that has them.
     entries = entries.groupBy("date", "c_slug").agg(F.min(F.struct("c_pos", "found")).alias("e")).select("date", "c_slug", "e.c_pos", "e.found")
-    tried = open_ones.select("date", "slug").distinct().join(entries, "date").withColumn("score", t.similarity(F.col("slug"), F.col("c_slug")))
-    best = tried.withColumn("r", F.row_number().over(W.partitionBy("date", "slug").orderBy(F.desc("score"), "c_pos"))).filter((F.col("r") == 1) & (F.col("score") >= similar_at))
+    alike = best_titles(open_ones.select("date", F.col("slug").alias("title")).distinct(), entries.select("date", F.col("c_slug").alias("other"), F.col("c_pos").cast("long").alias("order")), similar_at)
+    best = alike.filter("score is not null").select("date", F.col("title").alias("slug"), F.col("order").alias("c_pos")).join(entries.select("date", "c_pos", "found"), ["date", "c_pos"])
     out = meetings.join(open_ones.join(best.select("date", "slug", "found"), ["date", "slug"]).select("pos", "found"), "pos", "left")
     return out.withColumns({c: F.coalesce(f"found.{c}", c) for c in ("source_id", "path")}).drop("found")

@@ -8,6 +8,7 @@ back.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import batch, erase, grounding, migrate, parse, resolve, search, validate
+from ..operators import batch, erase, grounding, migrate, parse, resolve, validate
+from ..operators.stored_index import StoredIndex
+from ..sources import storage
 from . import recipes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,7 +107,9 @@ def backfill_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT coalesce(role, '') AS speaker, count(*) AS n FROM conversations WHERE text ILIKE '%que%' GROUP BY 1")
 def topic_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.contains(turn_tables(spark, sf_dir)["utterances"], "text", "que").groupBy("speaker").agg(F.count("*").alias("n"))
+    said = turn_tables(spark, sf_dir)["utterances"]
+    index = stored(spark, sf_dir, "conversations", said, "utt_id", ["text"], grams=True)
+    return recipes.topic_owners_substring({"utterances": said}, "que", index)
 
 
 _TOKENS = r"regexp_split_to_array(translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\p{{L}}\p{{N}}\p{{Co}}]+')"
@@ -112,41 +117,54 @@ _TOKENS = r"regexp_split_to_array(translate(lower({}), 'àáâãäåçèéêëì
 
 @query(f"SELECT coalesce(role, '') AS speaker, count(*) AS n FROM conversations WHERE list_contains({_TOKENS.format('text')}, 'the') GROUP BY 1")
 def topic_ownership_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recipes.topic_owners(turn_tables(spark, sf_dir), ["the"], ["text"])
+    x = turn_tables(spark, sf_dir)
+    return recipes.topic_owners(x, ["the"], ["text"], stored(spark, sf_dir, "conversations", x["utterances"], "utt_id", ["speaker", "text"]))
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, df: DataFrame, key: str, columns: list[str], grams: bool = False) -> StoredIndex:
+    """The index of one of the driver's tables, in the shared folder under a name that tells the table's
+    files: made where it is missing, else opened."""
+    files = storage.entries(spark, f"{sf_dir}/{name}.parquet")
+    what = hashlib.sha256(repr((sf_dir, name, key, columns, grams, files)).encode()).hexdigest()[:20]
+    path = f"{storage.shared_dir(spark)}/index-{what}"
+    index = StoredIndex.create(spark, path, key, grams)
+    if not index.facts["segments"]:
+        index.add(df, columns)
+    return index
 
 
-def doc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.token_index(table(spark, sf_dir, "documents"), "doc_id", ["text"])
+def doc_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    return stored(spark, sf_dir, "documents", table(spark, sf_dir, "documents"), "doc_id", ["text"])
 
 
 @query(f"SELECT doc_id FROM documents WHERE list_contains({_TOKENS.format('text')}, 'que') AND list_contains({_TOKENS.format('text')}, 'la')")
 def search_and(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.match_all(doc_index(spark, sf_dir), "doc_id", ["que", "la"])
+    return doc_index(spark, sf_dir).match_all(["que", "la"])
 
 
 @query(f"SELECT doc_id FROM documents WHERE list_contains({_TOKENS.format('text')}, 'trash') OR list_contains({_TOKENS.format('text')}, 'avec')")
 def search_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.match_any(doc_index(spark, sf_dir), "doc_id", ["trash", "avec"])
+    return doc_index(spark, sf_dir).match_any(["trash", "avec"])
 
 
 @query(f"SELECT doc_id FROM documents WHERE list_contains({_TOKENS.format('text')}, 'la') AND NOT list_contains({_TOKENS.format('text')}, 'que')")
 def search_not(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.match_not(doc_index(spark, sf_dir), "doc_id", ["la"], ["que"])
+    return doc_index(spark, sf_dir).match_not(["la"], ["que"])
 
 
 @query(f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({_TOKENS.format('text')}, ' ') || ' ', ' of the ')")
 def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.match_phrase(doc_index(spark, sf_dir), "doc_id", ["of", "the"])
+    return doc_index(spark, sf_dir).match_phrase(["of", "the"])
 
 
 @query(f"SELECT doc_id FROM documents WHERE len(list_filter({_TOKENS.format('text')}, lambda x: starts_with(x, 'worth'))) > 0")
 def search_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.match_prefix(doc_index(spark, sf_dir), "doc_id", "worth")
+    return doc_index(spark, sf_dir).match_prefix("worth")
 
 
 @query(f"SELECT token, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS token FROM documents) WHERE token <> '' GROUP BY 1")
 def token_document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.document_counts(doc_index(spark, sf_dir), "doc_id")
+    return doc_index(spark, sf_dir).document_counts()
 
 
 @query("SELECT r_name AS team, string_agg(n_name, ', ' ORDER BY n_name) AS names FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
@@ -276,18 +294,10 @@ def referential_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def quote_grounding_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages that stand in documents as they are. A passage is looked up by its rarest token, so
-    it is compared only with documents that have that."""
-    quotes = table(spark, sf_dir, "benchmark").filter("text <> ''").select("item_id", F.col("text").alias("quote"))
-    # The outer tokens of a passage may be parts of longer ones in a document.
-    inner = quotes.select("item_id", F.slice(t.tokens(F.col("quote")), 2, F.greatest(F.size(t.tokens(F.col("quote"))) - 2, F.lit(1))).alias("t"))
-    wanted = inner.select("item_id", F.explode_outer(F.array_distinct("t")).alias("token")).filter("token is not null")
+    """Passages that stand in documents as they are."""
+    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("quote"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = search.token_index(docs, "doc_id", ["text"]).join(wanted.select("token").distinct(), "token", "left_semi").select("token", "doc_id").distinct()
-    counts = index.groupBy("token").agg(F.count("*").alias("n"))
-    rarest = wanted.join(counts, "token").groupBy("item_id").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
-    pairs = rarest.join(index, "token").select("item_id", "doc_id")
-    return pairs.join(docs, "doc_id").join(quotes, "item_id").filter(F.contains("text", "quote")).select("item_id", "doc_id").distinct()
+    return grounding.verbatim(quotes, docs, doc_index(spark, sf_dir), "text").withColumnRenamed("id", "item_id")
 
 
 @query()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import search
+from ..operators.stored_index import StoredIndex
 
 Tables = dict[str, DataFrame]
 
@@ -43,10 +44,18 @@ def tensions(x: Tables) -> DataFrame:
     return x["relations"].filter("type = 'tension'").select("from_person", "to_person", "topic", "note")
 
 
-def search_utterances(x: Tables, words: list[str], limit: int = 20, columns: list[str] | None = None) -> DataFrame:
+def _with_words(x: Tables, words: list[str], columns: list[str] | None, index: StoredIndex | None) -> DataFrame:
+    """Utterances with all words: looked up in a stored index of `speaker` and `text`, else by a scan."""
+    if index is None:
+        keys = search.match_all(search.token_index(x["utterances"], "utt_id", ["speaker", "text"]), "utt_id", words, columns)
+    else:
+        keys = index.match_all(words, columns)
+    return x["utterances"].join(keys, "utt_id", "left_semi")
+
+
+def search_utterances(x: Tables, words: list[str], limit: int = 20, columns: list[str] | None = None, index: StoredIndex | None = None) -> DataFrame:
     """C. Utterances with all words, newest first."""
-    index = search.token_index(x["utterances"], "utt_id", ["speaker", "text"])
-    hits = x["utterances"].join(search.match_all(index, "utt_id", words, columns), "utt_id", "left_semi")
+    hits = _with_words(x, words, columns, index)
     rows = hits.join(x["meetings"], F.col("meeting_rowid") == F.col("rowid"))
     return rows.select("date", "title", "speaker", search.snippet(F.col("text"), words).alias("hit"), "utt_id").orderBy(F.desc("date"), "utt_id").limit(limit)
 
@@ -62,13 +71,17 @@ def evolution(x: Tables) -> DataFrame:
     return x["timeline"].select("date", "change").orderBy("date", "change")
 
 
-def topic_owners(x: Tables, words: list[str], columns: list[str] | None = None) -> DataFrame:
-    """E. Who says the words most; utterances without a speaker are a row of their own."""
-    index = search.token_index(x["utterances"], "utt_id", ["speaker", "text"])
-    hits = x["utterances"].join(search.match_all(index, "utt_id", words, columns), "utt_id", "left_semi")
+def topic_owners_substring(x: Tables, part: str, index: StoredIndex | None = None) -> DataFrame:
+    """E by substring, through a stored index of runs of characters if there is one."""
+    hits = search.contains(x["utterances"], "text", part) if index is None else index.containing(x["utterances"], "text", part)
     return hits.groupBy("speaker").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "speaker")
 
 
+def topic_owners(x: Tables, words: list[str], columns: list[str] | None = None, index: StoredIndex | None = None) -> DataFrame:
+    """E. Who says the words most; utterances without a speaker are a row of their own."""
+    return _with_words(x, words, columns, index).groupBy("speaker").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "speaker")
+
+
 def meetings_between(x: Tables, start: str, end: str, category: str, canonical: bool = False) -> DataFrame:
     """F. Meetings of a category in a span of dates; by the raw category unless `canonical`."""
     kind = F.col("category" if canonical else "category_raw")
