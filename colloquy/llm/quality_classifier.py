@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_name, materialize, read_table
+from .common import fresh_name, give_back, materialize, read_table
 
 #: The bound of the fitting sample: rated ids, those with the least hash. Everything is scored.
 SAMPLE_ROWS = 16_000
@@ -237,6 +237,7 @@ def add_grades(docs: DataFrame, model: OrdinalModel, text: str, expected: str, t
         for batch in batches:
             tails = model.tails(model.scores((x.as_py() for x in batch.column(n)), features))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(tails.sum(axis=1)), pa.array(np.ascontiguousarray(tails[:, -1]))], names=schema.names)
+            give_back()
 
     return docs.withColumn(fresh_name(docs.columns, "_body"), F.col(text).cast("binary")).mapInArrow(run, schema)
 

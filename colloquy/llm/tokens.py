@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -12,8 +11,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import give_back
+
 #: Bytes of text tokenized at once; a longer text is cut at white space.
-BATCH_BYTES = 5 << 20
+BATCH_BYTES = 1 << 20
 #: Distinct words, and bytes of them, that are remembered; beyond, those met once are forgotten.
 MEMORY_WORDS = 200_000
 MEMORY_BYTES = 4 << 20
@@ -29,17 +30,6 @@ _PLAIN = "^[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſА-я]{1,63}$"
 #: Texts on which the shortcuts must give the ids of the whole text, or they are not taken.
 _PROBES = ("One two,  three.\nFOUR five!? it's 3.14 x-y", "a\tb\r\nc \x0bd\x0ce", "Ünïcode Straße, мир. (see) [1] foo_bar", "word word. Word, WORD;", " lead and trail ")
 
-#: The C library's call that gives free memory back, where it has one.
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
-
-
-def _give_back() -> None:
-    """Returns free memory to the system: a worker that waits for its next task should hold none."""
-    pa.default_memory_pool().release_unused()
-    if _TRIM:
-        _TRIM(0)
-
-
 def default_tokenizer() -> str:
     """Path of the vocabulary with word ends; a parameter of every operator that takes ids."""
     import public_tokenizers
@@ -217,12 +207,12 @@ class WordTokenizer:
             if sizes[at] > BATCH_BYTES and self._by_word:
                 parts = _cut(texts[at].as_py())
                 yield np.concatenate([ids for p in parts for ids in self._encode(pa.array([p], pa.binary()))])
-                _give_back()
+                give_back()
                 at += 1
                 continue
             stop = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + BATCH_BYTES, "right")))
             yield from self._encode(texts.slice(at, stop - at))
-            _give_back()
+            give_back()
             at = stop
 
 
