@@ -27,6 +27,8 @@ FAN_IN = 8
 #: spread over more tasks.
 NODE_BINS = 50_000
 NODE_PIECES = 400_000
+#: Rounds at most; their number is part of a sequence's id. Nodes are an eighth after each, as a rule.
+MOST_ROUNDS = 31
 
 PIECE = T.StructType([T.StructField(c, T.IntegerType() if c == "piece" else T.LongType()) for c in ("doc_id", "piece", "start", "length", "ids_crc32")])
 
@@ -102,8 +104,8 @@ def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY, fan
     (of those below HALF_EMPTY, what they were made of) become items for `fan_in` times fewer nodes, and so on until one is left. They are dealt to nodes
     by a hash, so each node gets the same mix of fills wherever the rows lay, and as many nodes as
     keep it below NODE_BINS bins on average. Where the bins that fit with no others are too many for
-    half as many nodes, the round that finds it is the last one: no bin is closed without having met that
-    mix, and there are no more rounds than halvings of the number of partitions.
+    three quarters as many nodes, the round that finds it is the last one, as is that of number MOST_ROUNDS:
+    no bin is closed without having met that mix.
     Every round is written to the shared folder. A task holds one partition's columns (give ids and
     lengths here, not texts) or one node's bins. Lengths must be 1 to `capacity`, not null; other
     columns may hold anything and repeated rows stay. Columns named `offset` or `sequence_id` are
@@ -142,7 +144,7 @@ def _tree(source: DataFrame, piece: T.StructType, first: Callable[[Iterator[pa.R
         underfull = rounds[-1].filter(~F.col("done"))
         held = underfull.agg(F.count("*").alias("bins"), F.coalesce(F.sum(F.size("pieces")), F.lit(0)).alias("pieces")).first()
         fewer = max(-(-nodes // fan_in), -(-held.bins // NODE_BINS), -(-held.pieces // NODE_PIECES))
-        last = fewer == 1 or 2 * fewer > nodes
+        last = fewer == 1 or 4 * fewer > 3 * nodes or level == MOST_ROUNDS
         nodes = fewer
 
         def merge(key: tuple, table: pa.Table, *, level: int = level, last: bool = last) -> pa.Table:
