@@ -20,12 +20,18 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, materialize, read_table
 from .urls import host_of
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+#: A quote holds `>` where it follows `=` and is closed; in other places it is a character like others.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+#: For pages with a tag that never ends: there a quote holds no `<` either, so each look ends at the next one.
+_TAG_BROKEN = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>=<]++|=\s*+(?:"[^"<]*+"|'[^'<]*+')?+)*+)>""")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 #: A path with this share of a host's votes is one of its templates; there are 1 / TEMPLATE_SHARE at most.
 TEMPLATE_SHARE = 0.25
-#: A tag up to this long may hold `>` in quotes; a longer one ends at the first.
-TAG_CHARS = 8192
+#: A page takes a template of its host only if that has this share of the running text by which its own best
+#: container exceeds BOX_CHARS: a longer one is hardly a box beside a short article.
+COMPARABLE, BOX_CHARS = 0.25, 500
+#: Loosely named elements of an article (`related-work`) stay from this share of the page's running text on.
+LOOSE_SHARE = 0.125
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,6 +59,10 @@ OTHERS_WORDS = frozenset("has have hide hides no non not show shows with without
 #: Text of these is dropped for a class only if all its words speak of it: `notice-box`, not `notice-board`.
 PARAGRAPH = frozenset("blockquote caption cite code dd dt em figcaption h1 h2 h3 h4 h5 h6 li p pre q span strong td th".split())
 SIDE_WORDS = frozenset("area bar block body bottom box button buttons center content container form group inner item items left line link links list main outer page panel right row section site slot small text title top wrap wrapper".split())
+#: Words that are said of other things too, when another noun follows: `share-price`, `related-work`.
+ORDINARY_WORDS = frozenset("ad banner footer header hidden menu notice notices promotion recommended related replies reply respond search share sharing skip social sponsor sponsored subscription".split())
+#: Nouns that follow them in lists of links and in tools: `related-posts`, `share-icons`.
+FEED_WORDS = frozenset("article articles bars content contents form icon icons image images logo news option options page pages post posts product products reading results stories story tags tool tools topic topics video videos".split())
 #: A start tag of the key ends an open element of these, up to one of the fence.
 _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -71,13 +81,15 @@ KEPT, LAYOUT, SOFT, HARD = range(4)
 class Node:
     """An element. step: its tag and classes without digits; own: why it is no part of an article itself
     (LAYOUT: words that a wrapper may have too; SOFT: other words, or a form; HARD: anything else);
-    state: the same with what is round it; cause: the outermost element that is dropped for itself; home: the
-    nearest block or dropped element, box: the nearest container, itself included."""
+    state: the same with what is round it; cause: the outermost element that is dropped for itself; loose: dropped
+    for a word that may mean something else, in an article; story: whether it is an article or main element, or in
+    one; home: the nearest block or dropped element, box: the nearest container, itself included."""
 
-    __slots__ = ("box", "cause", "good", "hash", "home", "home_at", "lifted", "liftable", "own", "parent", "score", "state", "step", "tag")
+    __slots__ = ("box", "cause", "good", "hash", "home", "home_at", "lifted", "liftable", "loose", "own", "parent", "score", "state", "step", "story", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, own: int = KEPT, step: str = "", good: bool = False, liftable: bool = False) -> None:
-        self.tag, self.parent, self.own, self.step, self.good, self.liftable = tag, parent, own, step, good, liftable
+    def __init__(self, tag: str, parent: Node | None, own: int = KEPT, step: str = "", good: bool = False, liftable: bool = False, loose: bool = False) -> None:
+        self.tag, self.parent, self.own, self.step, self.good, self.liftable, self.loose = tag, parent, own, step, good, liftable, loose
+        self.story = tag in ("article", "main") or (parent is not None and parent.story)
         self.score, self.lifted, self.state = 0.0, False, KEPT
         self.home: Node = self
         self.box: Node = self if parent is None or tag in CONTAINER else parent.box
@@ -140,13 +152,23 @@ def _drop_words(value: str, strict: bool) -> frozenset[str]:
     return frozenset(out)
 
 
+@lru_cache(maxsize=2048)
+def _ordinary(value: str) -> bool:
+    """Whether each class or id with a word of DROP_WORDS has only ordinary ones, and another noun last."""
+    for one in value.split():
+        words = _words(one)
+        if DROP_WORDS.intersection(words) and not (ORDINARY_WORDS.issuperset(DROP_WORDS.intersection(words)) and words[-1] not in DROP_WORDS | SIDE_WORDS | FEED_WORDS):
+            return False
+    return True
+
+
 def _node(tag: str, said: str, parent: Node) -> Node:
     found = _attributes(said) if said.strip(" /\n\t\r") else {}
     if tag in ("html", "body"):
         return Node(tag, parent, step=tag)
     names, role = found.get("class", ""), found.get("role", "").lower()
     classes = sorted({re.sub(r"\d+", "#", c.lower()) for c in names.split()})
-    inside = parent.tag in ("article", "main") or parent.good
+    inside = parent.story or parent.good
     named = _drop_words(names, tag in PARAGRAPH) | _drop_words(found.get("id", ""), tag in PARAGRAPH)
     if inside:
         named = named - {"header"}  # the article's own heading
@@ -163,7 +185,8 @@ def _node(tag: str, said: str, parent: Node) -> Node:
     # A form, or a name that says more than that it is to be dropped, may be the page's own wrapper.
     only = _drop_words(names, True) | _drop_words(found.get("id", ""), True)
     liftable = own in (SOFT, LAYOUT) and (not named or (named <= LAYOUT_WORDS - {"ad", "ads"} and not only))
-    return Node(tag, parent, own, ".".join([tag, *classes]), good, liftable)
+    loose = bool(named) and inside and own in (SOFT, LAYOUT) and tag != "form" and role != "form" and _ordinary(names) and _ordinary(found.get("id", ""))
+    return Node(tag, parent, own, ".".join([tag, *classes]), good, liftable, loose)
 
 
 def parse(page: str) -> list[Block]:
@@ -202,7 +225,7 @@ def parse(page: str) -> list[Block]:
     def last(tags: set[str]) -> int:
         return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
-    at, end = 0, len(page)
+    at, end, whole = 0, len(page), _TAG
     last_close = page.rfind(">")
     while at < end:
         start = page.find("<", at)
@@ -226,7 +249,10 @@ def parse(page: str) -> list[Block]:
                 add("<")
                 at = start + 1
             continue
-        m = _TAG.match(page, start, min(end, start + TAG_CHARS))
+        m = whole.match(page, start)
+        if m is None and whole is _TAG:
+            whole = _TAG_BROKEN
+            m = whole.match(page, start)
         at = m.end() if m else page.find(">", start) + 1
         tag = name[1].lower()
         if page[start + 1] == "/":
@@ -267,17 +293,45 @@ def parse(page: str) -> list[Block]:
         stack.append(node)
         nodes.append(node)
     flush()
+    _keep_loose(nodes, blocks)
     _lift(nodes, blocks)
     return blocks
 
 
+def _running(block: Block) -> int:
+    """Characters that count as running text: those outside links, less as many as are in links."""
+    return max(0, len(block.text) - 2 * block.link_chars)
+
+
+def _keep_loose(nodes: list[Node], blocks: list[Block]) -> None:
+    """Loosely named elements of an article that hold a good part of the page's text are taken for parts of
+    it: `related-work`, `share-price`. What is hardly running text, or little, stays dropped."""
+    for _ in range(8):
+        kept, of, links = 0, {}, {}
+        for b in blocks:
+            cause = b.node.cause
+            if not b.node.drop:
+                kept += _running(b)
+            elif cause is not None and cause.loose:
+                of[cause] = of.get(cause, 0) + _running(b)
+                links[cause] = links.get(cause, 0) + b.link_chars
+        least = LOOSE_SHARE * (kept + sum(of.values()))
+        found = [n for n, chars in of.items() if chars >= least and chars > 3 * links[n]]
+        if not found:
+            return
+        for node in found:
+            node.lifted = True
+        for node in nodes:
+            node.settle()
+
+
 def _lift(nodes: list[Node], blocks: list[Block]) -> None:
     """A form, or an element like `sidebar-layout`, round all that a page says is no part to be dropped: where
     next to nothing is kept, the one that holds the most is taken for the page's own wrapper."""
     for _ in range(8):
         kept, of = 0, {}
         for b in blocks:
-            chars = max(0, len(b.text) - 2 * b.link_chars)
+            chars = _running(b)
             if not b.node.drop:
                 kept += chars
                 continue
@@ -302,7 +356,7 @@ def best_container(blocks: list[Block]) -> Node | None:
     for b in blocks:
         if b.node.drop:
             continue
-        worth = max(0, len(b.text) - 2 * b.link_chars) + 1
+        worth = _running(b) + 1
         node: Node | None = b.node.box
         while node is not None and worth > 1e-9:  # beyond, halves of halves tell nothing
             node.score += worth * (1.5 if node.good else 1.0)
@@ -328,11 +382,13 @@ def _container_above(node: Node) -> Node | None:
 
 def _with_rest(best: Node, blocks: list[Block]) -> Node:
     """`best`, or the container above while that adds running text: a sixth of what is there or more, of
-    paragraphs and headings that are hardly links."""
+    paragraphs and headings that are hardly links. Of what is not of the page's own containers, right under
+    the body, it must be a third: other text than an article's is likelier there."""
     for _ in range(8):
         above = _container_above(best)
-        if above is None or above.parent is None or above.tag in ("html", "body"):
+        if above is None:
             return best
+        outmost = above.parent is None or above.tag in ("html", "body")
         here, more, seen = 0, 0, {}
         for b in blocks:
             if not b.node.drop and b.link_chars * 4 < len(b.text) and _below(b.node, above, seen):
@@ -340,9 +396,11 @@ def _with_rest(best: Node, blocks: list[Block]) -> Node:
                     here += len(b.text)
                 elif b.node.tag in PARAGRAPH:
                     more += len(b.text)
-        if more * 6 < here or not more:
+        if more * (3 if outmost else 6) < here or not more:
             return best
         best = above
+        if outmost:
+            return best
     return best
 
 
@@ -363,12 +421,18 @@ def _below(node: Node, top: Node, seen: dict[tuple[int, int], bool]) -> bool:
     return found
 
 
-def _text_in(blocks: list[Block], path: int) -> list[str]:
-    """Kept blocks in containers whose path has the hash `path`."""
+#: The hash of the path of body.
+_WHOLE = xxhash.xxh64().intdigest()
+
+
+def _blocks_in(blocks: list[Block], path: int) -> list[Block]:
+    """Kept blocks in containers whose path has the hash `path`. Where that is the whole page, elements other
+    than paragraphs and headings that are hardly more than links are left out."""
     inside: dict[int, bool] = {}
     out = []
+    whole = path == _WHOLE
     for b in blocks:
-        if b.node.drop:
+        if b.node.drop or (whole and b.node.tag in CONTAINER - PARAGRAPH - {"body", "html"} and b.link_chars * 4 > len(b.text) * 3):
             continue
         passed, node, found = [], b.node, False
         while node is not None:
@@ -382,24 +446,27 @@ def _text_in(blocks: list[Block], path: int) -> list[str]:
             node = node.parent
         inside.update((id(n), found) for n in passed)
         if found:
-            out.append(b.text)
+            out.append(b)
     return out
 
 
 def extract(page: str | None, paths: str | Sequence[str] | None = None) -> str:
     """The main text of a page: its kept blocks, joined by empty lines, inside containers of one of the
-    generalised `paths`: that of the page's own best container if it is among them, else the first
-    that has text there. Without such, inside containers of the page's own best path."""
+    generalised `paths`: that of the page's own best container if it is among them, else the first that has
+    a COMPARABLE amount of running text there. Without such (a template that few pages of the host have),
+    inside containers of the page's own best path."""
     blocks = parse(page or "")
     best = best_container(blocks)
     if best is None:
         return ""
     own = best.hash.intdigest()
+    found = _blocks_in(blocks, own)
     hashes = [xxhash.xxh64(p.encode("utf-8", "surrogatepass")).intdigest() for p in ([paths] if isinstance(paths, str) else paths or ())]
-    for path in [own] if own in hashes else [*hashes, own]:
-        if found := _text_in(blocks, path):
-            return "\n\n".join(found)
-    return ""
+    if own not in hashes:
+        least = COMPARABLE * (sum(_running(b) for b in found) - BOX_CHARS)
+        theirs = (_blocks_in(blocks, path) for path in hashes)
+        found = next((f for f in theirs if f and sum(_running(b) for b in f) >= least), found)
+    return "\n\n".join(b.text for b in found)
 
 
 def vote(page: str | None) -> tuple[str | None, float]:

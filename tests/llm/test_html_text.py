@@ -78,6 +78,12 @@ def test_hosts_vote(spark):
         ('<div class="sidebar-layout"><p>Main text</p></div><div class="sidebar">Side</div>', "Main text"),
         ('<div class="sidebar"><p>Side</p></div><section class="ad">Buy</section>', ""),
         ('<div><p>Short.</p></div><div class="comments"><p>' + "said " * 300 + "</p></div>", "Short."),
+        ('<article><div class="share-price"><p>Up again.</p></div></article>', "Up again."),
+        ('<article><section class="intro"><p>First half.</p></section><section class="related-work"><p>Other half.</p></section></article>', "First half.\n\nOther half."),
+        ('<article><p>Text of it.</p><div class="related-posts"><p>Other posts here.</p></div><div class="share-this"><a href="x">Share on all networks</a></div></article>', "Text of it."),
+        ('<article><p>Text of it.</p><div class="article-share"><p>Share this one.</p></div><div class="comment-thread"><p>Nice one, all.</p></div></article>', "Text of it."),
+        ("<main><div><header><h1>Heading</h1></header><p>Text.</p></div></main>", "Heading\n\nText."),
+        ('<p title=don"t>It is.</p><p data-x=\'a>b\' title="c>d">Two</p>', "It is.\n\nTwo"),
     ],
 )
 def test_wrappers_and_words(page, want):
@@ -86,7 +92,7 @@ def test_wrappers_and_words(page, want):
 
 @pytest.mark.parametrize(
     "page",
-    ["<div>" * 100_000 + "x", "<a " * 200_000, '<a "' * 200_000, '<a ="' * 100_000 + ">", "</section>" * 50_000, "<b>" * 50_000 + "<p>x</p>" * 10_000, "<i><div>" * 30_000 + "</b>" * 30_000, "<!-- " * 100_000, "<ul>" + "<li>x" * 30_000],
+    ["<div>" * 100_000 + "x", '<a x=">" ' * 100_000, "<a x='>' y=\"" * 100_000 + ">", "<a " * 200_000, '<a "' * 200_000, '<a ="' * 100_000 + ">", "</section>" * 50_000, "<b>" * 50_000 + "<p>x</p>" * 10_000, "<i><div>" * 30_000 + "</b>" * 30_000, "<!-- " * 100_000, "<ul>" + "<li>x" * 30_000],
     ids=lambda p: p[:8],
 )
 def test_time_is_in_proportion(page):
@@ -140,3 +146,25 @@ def test_two_templates_of_a_host(spark):
     rows = [(i, "http://h.test/a", (a if i % 2 else b).format(f"{story} {i}")) for i in range(8)]
     got = {r.page_id: r.text for r in ht.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
     assert got == {i: f"{story} {i}" for i in range(8)}
+
+
+@pytest.mark.parametrize("chars", [100, 8_000, 9_000, 2_000_000])
+def test_attributes_of_any_length(chars):
+    assert ht.extract(f"<article><div data-state='{'<p>no</p>' * (chars // 9)}'><p>Text.</p></div></article>") == "Text."
+
+
+def test_article_in_siblings_under_the_body():
+    one, two = "First half of the story. " * 40, "The other half of it. " * 40
+    for a, b in ((one, two), (two, one), (one, two[: len(two) // 2])):
+        page = f"<body><div class='top'><a href='/'>Home</a></div><div class='lead'><p>{a}</p></div><div class='rest'><p>{b}</p></div><footer><p>{one * 3}</p></footer></body>"
+        assert ht.extract(page) == f"{a.strip()}\n\n{b.strip()}"
+
+
+def test_rare_template_of_a_host(spark):
+    """One page of ten is of another template, and has the box that the others keep their story in."""
+    story = "A sentence of the story, long enough to count. " * 40
+    usual = "<body><div class='story'><p>{}</p></div></body>"
+    rare = "<body><div class='story'><p>See also us.</p></div><div class='report'><p>{}</p></div></body>"
+    rows = [(i, "http://h.test/a", (rare if i == 9 else usual).format(f"{story}{i}")) for i in range(10)]
+    got = {r.page_id: r.text for r in ht.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
+    assert got == {i: f"{story}{i}" for i in range(10)}
