@@ -98,8 +98,8 @@ def merge_evolution(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.select("person", "date", "note").unionByName(add.join(old, ["person", "date", "note"], "left_anti"))
 
 
-def merge_tensions(relations: DataFrame, pool: DataFrame, people: DataFrame) -> DataFrame:
-    """The relations, and the pool's tensions between known people that they do not have, each once."""
+def new_tensions(relations: DataFrame, pool: DataFrame, people: DataFrame) -> DataFrame:
+    """The pool's tensions between known people that the relations do not have, each once."""
     names = people.select("name").distinct()
     rows = pool.withColumn("topic", F.coalesce("topic", F.lit("")))
     for end in ("from", "to"):
@@ -108,12 +108,17 @@ def merge_tensions(relations: DataFrame, pool: DataFrame, people: DataFrame) ->
     new = first.join(relations.select("from", "to", F.coalesce("topic", F.lit("")).alias("topic")), ["from", "to", "topic"], "left_anti")
     note = F.trim(F.concat(F.coalesce("r.note", F.lit("")), F.lit(" ("), F.coalesce("r.mtg_date", F.lit("")), F.lit(")")))
     one_way = F.when(F.col("r.direction") == "one-way", "one-way")
-    return relations.unionByName(new.select("from", "to", F.lit("tension").alias("type"), one_way.alias("direction"), "topic", note.alias("note")))
+    return new.select("from", "to", F.lit("tension").alias("type"), one_way.alias("direction"), "topic", note.alias("note"))
 
 
-def merge_network(network: DataFrame, pool: DataFrame, known: DataFrame, self_name: str = "") -> DataFrame:
-    """The network, and the pool's edges by canonical names that it does not have; edges with one's
-    own organisation are left out."""
+def merge_tensions(relations: DataFrame, pool: DataFrame, people: DataFrame) -> DataFrame:
+    """The relations, and the pool's tensions that are new."""
+    return relations.unionByName(new_tensions(relations, pool, people))
+
+
+def new_edges(network: DataFrame, pool: DataFrame, known: DataFrame, self_name: str = "") -> DataFrame:
+    """The pool's edges by canonical names that the network does not have; edges with one's own organisation
+    are left out."""
     rows = pool.select(F.coalesce("a", F.lit("")).alias("a"), F.coalesce("b", F.lit("")).alias("b"), "kind", F.coalesce("note", F.lit("")).alias("note"), "mtg_date")
     for end in ("a", "b"):
         rows = canonical_by_variant(rows, end, known, "_c", [end]).withColumn(end, F.col("_c")).drop("_c", "_n")
@@ -122,16 +127,26 @@ def merge_network(network: DataFrame, pool: DataFrame, known: DataFrame, self_na
     rows = rows.filter(~F.array_contains(own, F.lower("a")) & ~F.array_contains(own, F.lower("b")))
     first = rows.groupBy("a", "b", "kind").agg(F.min_by(F.struct("note", "mtg_date"), F.struct("mtg_date", "note")).alias("r"))
     new = first.join(network.select("a", "b", "kind"), ["a", "b", "kind"], "left_anti")
-    return network.unionByName(new.select("a", "b", "kind", F.lit(None).cast("string").alias("since"), "r.note", F.coalesce("r.mtg_date", F.lit("")).alias("source")))
+    return new.select("a", "b", "kind", F.lit(None).cast("string").alias("since"), "r.note", F.coalesce("r.mtg_date", F.lit("")).alias("source"))
 
 
-def merge_timeline(timeline: DataFrame, pool: DataFrame) -> DataFrame:
-    """The timeline, and of each month of the pool the first and the last signal, unless they are there."""
+def merge_network(network: DataFrame, pool: DataFrame, known: DataFrame, self_name: str = "") -> DataFrame:
+    """The network, and the pool's edges that are new."""
+    return network.unionByName(new_edges(network, pool, known, self_name))
+
+
+def new_signals(timeline: DataFrame, pool: DataFrame) -> DataFrame:
+    """Of each month of the pool the first and the last signal, unless the timeline has them."""
     order = F.struct("date", "batch", "pos") if "batch" in pool.columns else F.struct("date", "signal")
     ends = pool.groupBy(t.month(F.col("date")).alias("month")).agg(F.min_by(F.struct("date", "signal"), order).alias("first"), F.max_by(F.struct("date", "signal"), order).alias("last"))
     new = ends.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("s")).select(F.col("s.date").alias("date"), F.col("s.signal").alias("change")).distinct()
     new = new.join(timeline.select("date", "change"), ["date", "change"], "left_anti")
-    return timeline.unionByName(new.select("date", F.lit(None).cast("string").alias("meeting"), "change"))
+    return new.select("date", F.lit(None).cast("string").alias("meeting"), "change")
+
+
+def merge_timeline(timeline: DataFrame, pool: DataFrame) -> DataFrame:
+    """The timeline, and the pool's signals that are new."""
+    return timeline.unionByName(new_signals(timeline, pool))
 
 
 def processed_sources(onto: DataFrame, meetings: DataFrame) -> DataFrame:
