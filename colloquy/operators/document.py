@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .. import schemas
 from ..functions import text as t
@@ -37,6 +37,13 @@ def sections(onto: DataFrame) -> Document:
     return {"meta": onto.select("meta.*")} | {name: section(onto, name) for name in SECTIONS}
 
 
+def empty(spark: SparkSession) -> Document:
+    """The document that has nothing but a `meta` of nulls."""
+    kinds = {f.name: f.dataType for f in schemas.ONTOLOGY}
+    objects = {n: StructType([StructField("pos", LongType()), *kinds[n].elementType]) for n in SECTIONS}
+    return {"meta": spark.createDataFrame([tuple(None for _ in kinds["meta"])], kinds["meta"])} | {n: spark.createDataFrame([], k) for n, k in objects.items()}
+
+
 def _placed(rows: DataFrame, *order: str) -> DataFrame:
     """`rows` with places in the order of these columns, which go: increasing, not without gaps."""
     sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -16,7 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import batch, erase, grounding, migrate, parse, resolve, validate
+from .. import schemas
+from ..operators import batch, document, erase, grounding, migrate, parse, resolve, validate
 from ..operators.stored_index import StoredIndex
 from ..sources import storage
 from . import recipes
@@ -384,6 +385,31 @@ def erase_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return erase.erase_transcripts(files, ["trash"]).select(F.col("path").alias("doc_id"), F.col("content").alias("text"), "mentions")
 
 
+@query("""WITH h AS (SELECT DISTINCT l_orderkey AS o, s_name AS s FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), k AS (SELECT o, string_agg(s, ',' ORDER BY s) AS holders FROM h WHERE s <> 'Supplier#000000001' GROUP BY 1)
+ SELECT CAST(k.o AS VARCHAR) AS id, k.holders, coalesce(CAST(n.o AS VARCHAR), '') AS related FROM k LEFT JOIN k n ON n.o = k.o + 1""")
+def document_erase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as beliefs that their suppliers hold, each related to the next: one supplier is erased."""
+    held = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_orderkey").agg(F.sort_array(F.collect_set("s_name")).alias("holders"))
+    models = held.select(F.col("l_orderkey").alias("pos"), F.col("l_orderkey").cast("string").alias("id"), "holders", F.array((F.col("l_orderkey") + 1).cast("string")).alias("related"))
+    doc = document.empty(spark)
+    name = "Supplier#000000001"
+    after = document.erased(doc | {"models": doc["models"].unionByName(models, allowMissingColumns=True)}, name, [name])
+    return after["models"].select("id", F.array_join("holders", ",").alias("holders"), F.array_join("related", ",").alias("related"))
+
+
+@query("""WITH o AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, CAST(o_orderkey AS VARCHAR) AS change, o_orderstatus AS s FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY date[:7] ORDER BY date, change) AS a,
+ row_number() OVER (PARTITION BY date[:7] ORDER BY date DESC, change DESC) AS b FROM o), t AS (SELECT date FROM r WHERE s = 'F' OR a = 1 OR b = 1) SELECT min(date) || ' ~ ' || max(date) AS date_range, count(*) AS entries FROM t""")
+def document_merge_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished orders as a timeline, into which a batch of all orders is merged: what it spans, and its entries."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", day("o_orderdate").alias("date"), F.col("o_orderkey").cast("string").alias("change"))
+    doc = document.empty(spark)
+    told = o.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("long").alias("pos"), "date", F.lit(None).cast("string").alias("meeting"), "change")
+    registry = spark.createDataFrame([], "pos long, name string")
+    assigned = spark.createDataFrame([], "id string, key string")
+    new = document.merged(doc | {"timeline": told}, registry, assigned, spark.createDataFrame([], schemas.SYNTHESIS), {"timeline": o.select("date", F.col("change").alias("signal"))})
+    return new["meta"].select("date_range").crossJoin(new["timeline"].agg(F.count("*").alias("entries")))  # one row each
+
+
 @query("SELECT coalesce(role, '') AS kind, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 1) AS share FROM conversations GROUP BY 1")
 def attribution_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select(F.coalesce("role", F.lit("")).alias("kind"))
