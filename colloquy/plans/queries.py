@@ -223,15 +223,19 @@ def semi_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.coverage(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("speaker")), known).withColumn("share", F.col("share").cast("double"))
 
 
-@query("SELECT sha256(text) AS source_id, count(*) AS n FROM documents WHERE text <> '' GROUP BY text HAVING count(*) > 1")
+@query("SELECT sha256(text) AS source_id, lang AS part, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY CAST(doc_id AS VARCHAR)) AS paths FROM documents WHERE text <> '' GROUP BY text, lang HAVING count(*) > 1")
 def duplicate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").filter("text <> ''").select(F.sha2("text", 256).alias("source_id"))
-    return rows.groupBy("source_id").agg(F.count("*").alias("n")).filter("n > 1")
+    """Documents as files of recordings, known by their text and, as part, language."""
+    rows = table(spark, sf_dir, "documents").filter("text <> ''").select(F.sha2("text", 256).alias("source_id"), F.col("lang").alias("part"), F.col("doc_id").cast("string").alias("path"))
+    return grounding.duplicate_sources(rows).withColumn("paths", F.array_join("paths", ","))
 
 
-@query("SELECT alias, min(owner) AS canonical FROM (VALUES ('bob', 'u1'), ('bob', 'u2'), ('ann', 'u3'), ('ann', 'u3'), ('u1', 'u1'), ('u2', 'u2'), ('u3', 'u3')) v(alias, owner) GROUP BY 1 HAVING count(DISTINCT owner) = 1")
+@query("""WITH l AS (SELECT c_name AS c, lower(c_mktsegment || c_nationkey || '-' || CAST(floor(c_acctbal / 50) AS BIGINT)) AS a FROM customer UNION ALL SELECT c_name, lower(c_name) FROM customer)
+ SELECT a AS alias, min(c) AS canonical FROM l GROUP BY 1 HAVING count(DISTINCT c) = 1""")
 def ambiguous_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    registry = spark.createDataFrame([("u1", ["Bob"]), ("u2", ["bob"]), ("u3", ["Ann", "ann"])], "name string, aliases array<string>")
+    """Customers by name, and by segment, nation and about how much they have, which several may share."""
+    label = F.concat("c_mktsegment", "c_nationkey", F.lit("-"), F.floor(F.col("c_acctbal") / 50))
+    registry = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.array(label).alias("aliases"))
     people = spark.createDataFrame([], "name string, type string")
     return resolve.alias_map(resolve.alias_candidates(registry, people)).select("alias", "canonical")
 
