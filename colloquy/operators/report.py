@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..plans import recipes
+from . import grounding
 
 
 def index_lines(tables: dict[str, DataFrame]) -> DataFrame:
@@ -39,6 +41,30 @@ def dossier_lines(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def listed(rows: DataFrame, kind: str, first: int) -> DataFrame:
+    """`kind`, `place`, `what`, `n`, `more`: the `first` rows (`what`, `n`) of the highest `n`, of equal ones those of the
+    least `what`, and how many rows are not listed."""
+    top = rows.select("what", F.col("n").cast("long").alias("n")).orderBy(F.desc("n"), "what").limit(first)
+    place = F.row_number().over(W.orderBy(F.desc("n"), "what"))  # over `first` rows
+    total = rows.agg(F.count("*").alias("total"))
+    return top.withColumn("place", place).crossJoin(total).select(F.lit(kind).alias("kind"), "place", "what", "n", (F.col("total") - F.least(F.lit(first), F.col("total"))).alias("more"))
+
+
+def build_warnings(tables: dict[str, DataFrame]) -> DataFrame:
+    """What a build should be looked at for: files with lines that look spoken and were not understood (10 of the most
+    lines), meetings without any utterance (10), and recordings that several files hold (8 of the most files)."""
+    lost = tables["discarded"].filter("lost_lines > 0").select(F.col("path").alias("what"), F.col("lost_lines").alias("n"))
+    silent = tables["meetings"].join(tables["utterances"].select(F.col("meeting_rowid").alias("rowid")).distinct(), "rowid", "left_anti")
+    twice = grounding.duplicate_sources(tables["meetings"]).select(F.concat(F.col("source_id"), F.lit(": "), F.array_join("paths", " | ")).alias("what"), "n")
+    rows = listed(lost, "lost lines", 10).unionByName(listed(silent.select(F.col("path").alias("what"), F.lit(0).alias("n")), "no utterances", 10))
+    return rows.unionByName(listed(twice, "several files", 8))
+
+
+def lost_holders(counts: DataFrame) -> DataFrame:
+    """The five holders with the most instances that were dropped. counts: the second result of `batch.known_instances`."""
+    return listed(counts.select(F.col("holder").alias("what"), F.col("count").alias("n")), "unknown holders", 5)
+
+
 def personal_notes(registry: DataFrame) -> DataFrame:
     """`person`, `pos`, `note`, `mark`, `caution`: personal notes, given as text or as an object with
     a use, whose mark warns of private and forbidden ones."""

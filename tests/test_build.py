@@ -174,3 +174,21 @@ def test_text_functions(spark):
     assert one(t.base_name(F.lit("a/b.c.md"))) == "b.c" and one(t.file_safe(F.lit("a/b:c"))) == "a-b-c"
     assert one(t.similarity(F.lit("abcd"), F.lit("abce"))) == 0.75
     assert [one(t.category(F.lit(x))) for x in (None, " IR ", "인터뷰", "x")] == ["기타", "외부-투자IR", "인터뷰", "기타"]
+
+
+def test_build_warnings(spark, tables):
+    got = {}
+    for r in report.build_warnings(tables).orderBy("kind", "place").collect():
+        got.setdefault(r.kind, []).append((r.place, r.what, r.n, r.more))
+    lost = sorted(((r.path, r.lost_lines) for r in tables["discarded"].filter("lost_lines > 0").collect()), key=lambda x: (-x[1], x[0]))
+    assert lost and got["lost lines"] == [(i, p, n, 0) for i, (p, n) in enumerate(lost, 1)]
+    silent = sorted(corpus.path(talk) for talk in corpus.TALKS if not talk.lines)
+    assert got["no utterances"] == [(i, p, 0, 0) for i, p in enumerate(silent, 1)]
+    lectures = [corpus.path(talk) for talk in corpus.TALKS if talk.date == "2025-11-03"]
+    assert got["several files"] == [(1, "fh-1103: " + " | ".join(lectures), 3, 0)]
+
+
+def test_listed_ties_and_rest(spark):
+    counts = spark.createDataFrame([(f"h{i}", i // 3) for i in range(9)], "holder string, count long")
+    assert [(r.place, r.what, r.n, r.more) for r in report.lost_holders(counts).orderBy("place").collect()] == [(1, "h6", 2, 4), (2, "h7", 2, 4), (3, "h8", 2, 4), (4, "h3", 1, 4), (5, "h4", 1, 4)]
+    assert report.lost_holders(counts.limit(0)).collect() == []
