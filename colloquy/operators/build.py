@@ -42,19 +42,17 @@ def ontology_tables(onto: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def build_tables(transcripts: DataFrame, onto: DataFrame, registry: DataFrame) -> dict[str, DataFrame]:
-    """Every table of `schemas.TABLES`, and two reports: `aliases_dropped` (labels of several people)
-    and `discarded` (lines that became no utterance)."""
+def resolved(meetings: DataFrame, said: DataFrame, promised: DataFrame, onto: DataFrame, registry: DataFrame) -> dict[str, DataFrame]:
+    """Every table of `schemas.TABLES`, and `aliases_dropped` (labels of several people), of parsed transcripts: numbered
+    meetings, and utterances and commitments that know their meeting's `rowid`."""
     tables = ontology_tables(onto)
     registry = registry.filter("name <> ''")
     candidates = r.alias_candidates(registry, tables["people"])
     aliases = r.alias_map(candidates)
 
-    meetings = parse.meetings(transcripts)
-    lines = parse.lines(meetings)
-    said = r.resolve(parse.utterances(lines).withColumn("_raw", t.strip_wrappers(F.col("speaker_raw"))), "_raw", aliases, "speaker").drop("_raw")
+    said = r.resolve(said.withColumn("_raw", t.strip_wrappers(F.col("speaker_raw"))), "_raw", aliases, "speaker").drop("_raw")
     said = r.classify(said, "speaker_raw", "speaker", aliases)
-    promised = parse.commitments(lines).withColumns({"f": t.strip_wrappers(F.col("from_raw")), "o": t.strip_wrappers(F.col("to_raw"))})
+    promised = promised.withColumns({"f": t.strip_wrappers(F.col("from_raw")), "o": t.strip_wrappers(F.col("to_raw"))})
     promised = r.resolve(r.resolve(promised, "f", aliases, "from_person"), "o", aliases, "to_person")
 
     listed = meetings.select("rowid", F.explode("participant_list").alias("label")).withColumn("label", t.clean_participant(t.strip_wrappers(F.col("label"))))
@@ -67,21 +65,33 @@ def build_tables(transcripts: DataFrame, onto: DataFrame, registry: DataFrame) -
     tables["person_aliases"] = aliases
     tables["person_meetings"] = r.person_meetings(listed, speakers)
     tables["commitments"] = promised.select("from_person", "to_person", "text", "due", F.col("rowid").alias("meeting_rowid"), "done")
-    tables["meetings"] = meetings.drop("body", "participant_list")
+    tables["meetings"] = meetings.drop("participant_list")
     # An utterance is known by its meeting and line.
     utt_id = F.col("rowid") * F.lit(1 << 24) + F.col("i")
     tables["utterances"] = said.select(utt_id.alias("utt_id"), F.col("rowid").alias("meeting_rowid"), "speaker", "speaker_raw", "ts", "text", "kind")
     out = {n: df.select(*schemas.TABLES[n].names) for n, df in tables.items()}
     out["aliases_dropped"] = r.ambiguous(candidates)
+    return out
+
+
+def build_tables(transcripts: DataFrame, onto: DataFrame, registry: DataFrame) -> dict[str, DataFrame]:
+    """The tables of `resolved`, and another report: `discarded` (lines that became no utterance)."""
+    meetings = parse.meetings(transcripts)
+    lines = parse.lines(meetings)
+    out = resolved(meetings.drop("body"), parse.utterances(lines), parse.commitments(lines), onto, registry)
     out["discarded"] = parse.discarded(lines).join(meetings.select("rowid", "path"), "rowid")
     return out
 
 
-def build(spark: SparkSession, corpus: str) -> dict[str, DataFrame]:
-    """The tables of a corpus folder. Absent or broken documents count as empty."""
+def documents(spark: SparkSession, corpus: str) -> tuple[DataFrame, DataFrame]:
+    """Ontology and registry of a corpus folder. Absent or broken documents count as empty."""
     onto = files.json_document(spark, f"{corpus}/_ontology/objects.json", schemas.ONTOLOGY).drop(files.CORRUPT)
-    registry = files.json_document(spark, f"{corpus}/_meta/speakers.json", schemas.REGISTRY).drop(files.CORRUPT)
-    return build_tables(files.transcripts(spark, corpus), onto, registry)
+    return onto, files.json_document(spark, f"{corpus}/_meta/speakers.json", schemas.REGISTRY).drop(files.CORRUPT)
+
+
+def build(spark: SparkSession, corpus: str) -> dict[str, DataFrame]:
+    """The tables of a corpus folder."""
+    return build_tables(files.transcripts(spark, corpus), *documents(spark, corpus))
 
 
 def catalog(meetings: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ back.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from .. import schemas
-from ..operators import batch, document, erase, grounding, migrate, parse, resolve, validate
+from ..operators import batch, document, erase, grounding, migrate, parse, rebuild, resolve, validate
 from ..operators.stored_index import StoredIndex
 from ..sources import storage
 from . import recipes
@@ -321,10 +322,9 @@ def _flat(c: str) -> Column:
 _FLAT = r"trim(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]+', ' ', 'g'))"
 
 
-@query(f"SELECT conv_id AS rowid, coalesce(role, '') AS speaker_raw, (turn // 60) || ':' || lpad(CAST(turn % 60 AS VARCHAR), 2, '0') AS ts, {_FLAT} AS text FROM conversations WHERE {_FLAT} <> ''")
-def utterance_parse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns written as transcript lines of several shapes, then parsed; headers of every third turn
-    have their text on the next lines."""
+def _transcripts(turns: DataFrame) -> DataFrame:
+    """`rowid`, `body`: conversations as transcripts, their turns as lines of several shapes; headers of every third
+    turn have their text on the next lines."""
     ts = F.concat((F.col("turn") / 60).cast("long").cast("string"), F.lit(":"), F.lpad((F.col("turn") % 60).cast("string"), 2, "0"))
     role, said = F.coalesce("role", F.lit("")), _flat("text")
     line = (
@@ -332,11 +332,39 @@ def utterance_parse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("turn") % 3 == 1, F.concat(F.lit("**"), role, F.lit(" ("), ts, F.lit(")**\n"), said))
         .otherwise(F.concat(F.lit("**"), role, F.lit("** (시간: "), ts, F.lit("): "), said))
     )
-    files = table(spark, sf_dir, "conversations").filter(said != "").groupBy(F.col("conv_id").alias("rowid")).agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"))
-    bodies = files.select("rowid", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("body"))
+    files = turns.filter(said != "").groupBy(F.col("conv_id").alias("rowid")).agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"))
+    return files.select("rowid", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("body"))
+
+
+@query(f"SELECT conv_id AS rowid, coalesce(role, '') AS speaker_raw, (turn // 60) || ':' || lpad(CAST(turn % 60 AS VARCHAR), 2, '0') AS ts, {_FLAT} AS text FROM conversations WHERE {_FLAT} <> ''")
+def utterance_parse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns written as transcript lines, then parsed."""
+    bodies = _transcripts(table(spark, sf_dir, "conversations"))
     return parse.utterances(parse.lines(bodies)).select("rowid", "speaker_raw", "ts", "text")
 
 
+@query(f"""WITH t AS (SELECT conv_id, turn, role, {_FLAT} AS text FROM conversations WHERE {_FLAT} <> '' AND conv_id % 7 <> 0),
+ n AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS rowid FROM (SELECT DISTINCT conv_id FROM t))
+ SELECT conv_id, rowid, coalesce(role, '') AS speaker_raw, (turn // 60) || ':' || lpad(CAST(turn % 60 AS VARCHAR), 2, '0') AS ts, text || CASE WHEN conv_id % 5 = 1 THEN ' again' ELSE '' END AS text FROM t JOIN n USING (conv_id)""")
+def rebuild_after_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as files of a store, which then follows an edit: every seventh is gone, of the others every fifth
+    says more. Rows and numbers are those of the edited files."""
+    said = table(spark, sf_dir, "conversations")
+
+    def files(turns: DataFrame, edited: Column) -> DataFrame:
+        day_of = F.when(edited, "2025-01-02").otherwise("2025-01-01").cast("timestamp")
+        made = _transcripts(turns).select(F.lpad(F.col("rowid").cast("string"), 12, "0").alias("path"), day_of.alias("modified"), F.col("body").alias("content"))
+        facts = made.select("*", F.length("content").cast("long").alias("length"), F.lit(True).alias("readable"), F.sha2("content", 256).alias("digest"))
+        return storage.materialize(facts, "rebuild-files")[0]
+
+    more = F.when(F.col("conv_id") % 5 == 1, F.concat("text", F.lit(" again"))).otherwise(F.col("text"))
+    after = said.filter("conv_id % 7 <> 0").withColumn("text", F.when(_flat("text") != "", more))
+    store = rebuild.Store(spark, f"{storage.shared_dir(spark)}/rebuild-{uuid.uuid4().hex}")
+    for now in (files(said, F.lit(False)), files(after, F.col("rowid") % 5 == 1)):
+        store.update(now, lambda since, now=now: now.filter(F.col("modified") >= F.lit(since)))
+    return store.parts()["said"].select(F.col("path").cast("long").alias("conv_id"), "rowid", "speaker_raw", "ts", "text")
+
+
 @query("""SELECT o_orderkey AS rowid, CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END AS done, CAST(o_custkey AS VARCHAR) AS from_raw, 'desk' AS to_raw, 'send ' || o_orderpriority AS text,
  CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS due FROM orders""")
 def commitment_parse(spark: SparkSession, sf_dir: str) -> DataFrame:

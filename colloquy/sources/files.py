@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, StringType
@@ -16,18 +18,43 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(found)
 
 
+def _markdown(spark: SparkSession, corpus: str) -> DataFrame | None:
+    """All `transcripts/**/*.md` as binary files under their paths relative to the corpus; None without the folder."""
+    folder = f"{corpus}/transcripts"
+    if not exists(spark, folder):
+        return None
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder)
+    return files.withColumn("path", F.regexp_extract(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), r"(transcripts/.*)$", 1))
+
+
 def transcripts(spark: SparkSession, corpus: str) -> DataFrame:
     """`path` (relative to the corpus) and whole `content` of all `transcripts/**/*.md`, read in
     parallel. Bytes that are no UTF-8 make a file unreadable: `readable` is false and it is skipped
     by what follows."""
-    empty = spark.createDataFrame([], "path string, content string, readable boolean")
-    folder = f"{corpus}/transcripts"
-    if not exists(spark, folder):
-        return empty
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder)
+    files = _markdown(spark, corpus)
+    if files is None:
+        return spark.createDataFrame([], "path string, content string, readable boolean")
+    text = F.expr("try_validate_utf8(cast(content as string))")
+    return files.select("path", text.alias("content"), text.isNotNull().alias("readable"))
+
+
+def listing(spark: SparkSession, corpus: str) -> DataFrame:
+    """`path`, `modified`, `length` of all transcripts; none of them is opened."""
+    files = _markdown(spark, corpus)
+    if files is None:
+        return spark.createDataFrame([], "path string, modified timestamp, length long")
+    return files.select("path", F.col("modificationTime").alias("modified"), "length")
+
+
+def contents_since(spark: SparkSession, corpus: str, since: datetime) -> DataFrame:
+    """`path`, `content`, `readable` and `digest` (of the bytes) of transcripts modified at `since` or later. The
+    condition reaches the source, which does not open the others."""
+    files = _markdown(spark, corpus)
+    if files is None:
+        return spark.createDataFrame([], "path string, content string, readable boolean, digest string")
     text = F.expr("try_validate_utf8(cast(content as string))")
-    path = F.regexp_extract(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), r"(transcripts/.*)$", 1)
-    return files.select(path.alias("path"), text.alias("content"), text.isNotNull().alias("readable"))
+    late = files.filter(F.col("modificationTime") >= F.lit(since))
+    return late.select("path", text.alias("content"), text.isNotNull().alias("readable"), F.sha2("content", 256).alias("digest"))
 
 
 def json_document(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
