@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from .. import schemas
-from ..operators import batch, document, erase, grounding, migrate, parse, rebuild, resolve, validate
+from ..operators import batch, document, erase, erase_many, grounding, migrate, parse, rebuild, resolve, validate
 from ..operators.stored_index import StoredIndex
 from ..sources import storage
 from . import recipes
@@ -417,6 +417,21 @@ def erase_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return erase.erase_transcripts(files, ["trash"]).select(F.col("path").alias("doc_id"), F.col("content").alias("text"), "mentions")
 
 
+#: People to erase from documents: names made of two of these, many within others or across them.
+_SYLLABLES = ("an", "at", "ea", "ed", "en", "er", "es", "ha", "he", "ing", "is", "nd", "or", "re", "th", "tion")
+_NAMES = sorted({a + b for a in _SYLLABLES for b in _SYLLABLES}, key=lambda n: (-len(n), n))
+_NAMES_SQL = "[" + ", ".join(f"'{n}'" for n in _NAMES) + "]"
+
+
+@query(f"""SELECT doc_id, list_reduce(list_prepend(text, {_NAMES_SQL}), lambda done, name: replace(done, name, '(삭제)')) AS text,
+ CAST(list_sum(list_transform({_NAMES_SQL}, lambda name: (length(text) - length(replace(text, name, ''))) // length(name))) AS INTEGER) AS mentions
+ FROM (SELECT doc_id, nfc_normalize(text) AS text FROM documents)""")
+def erase_many_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some 250 names erased from all documents in one pass."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return erase_many.erase_texts(docs, "text", [(n, [n]) for n in _NAMES]).select("doc_id", "text", "mentions")
+
+
 @query("""WITH h AS (SELECT DISTINCT l_orderkey AS o, s_name AS s FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), k AS (SELECT o, string_agg(s, ',' ORDER BY s) AS holders FROM h WHERE s <> 'Supplier#000000001' GROUP BY 1)
  SELECT CAST(k.o AS VARCHAR) AS id, k.holders, coalesce(CAST(n.o AS VARCHAR), '') AS related FROM k LEFT JOIN k n ON n.o = k.o + 1""")
 def document_erase(spark: SparkSession, sf_dir: str) -> DataFrame:
