@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-# Labels and role words that are no person, category names and their aliases, note marks.
+# Labels and role words that are no person, category names and their aliases, note marks, names of relations.
 GENERIC = r"(?iU)^(speaker|발화자|화자)\s*\d*$"
 ROLE_WORDS = ("대표", "대표님", "담당자", "상담원", "직원", "참석자", "발신자", "수신자", "고객", "기타")
 CATEGORIES = ("내부-주간회의", "내부-전략", "내부-1on1", "외부-파트너", "외부-고객영업", "외부-투자IR", "강연-세미나", "인터뷰", "개인-통화", "기타")
@@ -29,6 +29,7 @@ CATEGORY_ALIASES = {
     "통화": "개인-통화",
 }
 NOTE_MARKS = {"사적": "△", "언급금지": "⛔"}
+RELATIONS = {"tension": "대립", "agree": "합의", "builds-on": "발전"}
 OTHER_CATEGORY = "기타"
 
 
@@ -187,6 +188,11 @@ def note_mark(use: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in NOTE_MARKS.items() for x in kv]), use), F.lit(""))
 
 
+def relation_name(kind: Column) -> Column:
+    """How a report names a kind of relation; another kind by itself."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in RELATIONS.items() for x in kv]), kind), kind)
+
+
 def rank(value: Column, order: tuple[str, ...]) -> Column:
     """Place of a value in `order`; others come last."""
     out = F.lit(len(order))

@@ -32,7 +32,7 @@ def dossier_lines(tables: dict[str, DataFrame]) -> DataFrame:
     return (
         part(0, recipes.people_index(tables), F.lit(""), F.format_string("# %s: %d meetings, %s ~ %s", "person", "n", "first_met", "last_met"))
         .unionByName(part(1, recipes.dossier_models(tables), place, F.format_string("- %s (%s ×%d)", "title", "evidence", "count")))
-        .unionByName(part(2, recipes.dossier_relations(tables), F.concat_ws(" ", "other", "topic"), F.format_string("- %s %s: %s", "type", "other", F.coalesce("topic", F.lit("")))))
+        .unionByName(part(2, recipes.dossier_relations(tables), F.concat_ws(" ", "other", "topic"), F.format_string("- %s %s: %s", t.relation_name(F.col("type")), "other", F.coalesce("topic", F.lit("")))))
         .unionByName(part(3, recipes.dossier_network(tables), F.concat_ws(" ", "kind", "other"), F.format_string("- %s %s", "kind", "other")))
         .unionByName(part(4, recipes.dossier_open_loops(tables), F.concat_ws(" ", "due", "text"), F.format_string("- [ ] %s → %s: %s %s", "from_person", "to_person", "text", "due")))
         .unionByName(part(5, peers, place, F.format_string("- with %s ×%d", "peer", "n")))
@@ -41,6 +41,12 @@ def dossier_lines(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def dossiers(tables: dict[str, DataFrame], registry: DataFrame) -> DataFrame:
+    """`dossier_lines` of those who get a dossier: people of the registry, but not contacts. Without a tier one is core."""
+    wanted = registry.filter((F.col("name") != "") & (F.coalesce("tier", F.lit("core")) != "contact")).select(t.norm(F.col("name")).alias("person"))
+    return dossier_lines(tables).join(wanted, "person", "left_semi")
+
+
 def listed(rows: DataFrame, kind: str, first: int) -> DataFrame:
     """`kind`, `place`, `what`, `n`, `more`: the `first` rows (`what`, `n`) of the highest `n`, of equal ones those of the
     least `what`, and how many rows are not listed."""

@@ -152,6 +152,9 @@ def test_dossiers_and_reports(spark, tables, tmp_path):
     assert report.index_lines(tables).count() == len(corpus.TALKS) + len(counts)
     lines = report.dossier_lines(tables).filter(F.col("person") == ines).orderBy("ord").collect()
     assert lines[0].line.startswith(f"# {ines}: ") and any(f"with {mateo} ×3" in r.line for r in lines)
+    assert any(r.line == f"- 대립 {mateo}: compost" for r in lines)
+    tiers = spark.createDataFrame([(ines, "contact"), (mateo, None), ("", "core"), ("Never Met", "core")], "name string, tier string")
+    assert {r.person for r in report.dossiers(tables, tiers).select("person").collect()} == {mateo}
     old = spark.createDataFrame([(ines, "top\n<!-- keep -->\nby hand\n<!-- /keep -->\nend")], "person string, content string")
     kept = report.with_manual_block(report.dossier_lines(tables), old, "<!-- keep -->", "<!-- /keep -->")
     assert kept.filter("ord.g = 9").first().line == "<!-- keep -->\nby hand\n<!-- /keep -->"
