@@ -424,7 +424,7 @@ _NAMES_SQL = "[" + ", ".join(f"'{n}'" for n in _NAMES) + "]"
 
 
 @query(f"""SELECT doc_id, list_reduce(list_prepend(text, {_NAMES_SQL}), lambda done, name: replace(done, name, '(삭제)')) AS text,
- CAST(list_sum(list_transform({_NAMES_SQL}, lambda name: (length(text) - length(replace(text, name, ''))) // length(name))) AS INTEGER) AS mentions
+ coalesce(CAST(list_sum(list_transform({_NAMES_SQL}, lambda name: (length(text) - length(replace(text, name, ''))) // length(name))) AS INTEGER), 0) AS mentions
  FROM (SELECT doc_id, nfc_normalize(text) AS text FROM documents)""")
 def erase_many_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some 250 names erased from all documents in one pass."""
