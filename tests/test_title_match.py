@@ -48,3 +48,22 @@ def test_blocks_of_a_crowded_date(spark, block):
     got = {(x.date, x.title): (x.score, x.order) for x in got.collect() if x.score is not None}
     want = {(d, t): plain(t, [(o, i) for (e, o), i in others.items() if e == d], 0.55) for d, t in titles}
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_a_date_of_thousands_scores_few_and_ends(spark):
+    keys = random.Random(3).sample(range(900_000), 3000)
+    titles = spark.createDataFrame([("d", f"callwith{k}") for k in keys], "date string, title string")
+    others = spark.createDataFrame([("d", f"callw{k}", i) for i, k in enumerate(keys)], "date string, other string, order long")
+    got = best_titles(titles, others, 0.55).collect()
+    assert {r.title: r.order for r in got} == {f"callwith{k}": i for i, k in enumerate(keys)}
+    assert sum(r.scored for r in got) < 10 * len(keys)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_profiles_of_anagrams_and_rare_characters(seed):
+    r = random.Random(seed)
+    titles = ["".join(r.sample("plan회의ab", r.randint(0, 8))) for _ in range(60)] + ["", "가나다", "x\U0001f600"]
+    others = sorted({"".join(r.sample("nalp의회ba", r.randint(0, 8))) for _ in range(60)} | {"", "가다나", "\U0001f600x"})
+    order = r.sample(range(1000), len(others))
+    for t, (score, at, _) in zip(titles, best_of(titles, others, order, 0.3), strict=True):
+        assert (None if at < 0 else (score, at)) == plain(t, list(zip(others, order, strict=True)), 0.3)
