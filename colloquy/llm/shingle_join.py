@@ -1,4 +1,5 @@
-"""Near copies by the similarity of their sets of word shingles, exactly: no pair is lost."""
+"""Near copies: SimHash fingerprints with pigeonring first, checked by the similarity of the texts' sets of word
+shingles; what fingerprints cannot tell is looked for by an exact join of the sets, so no pair is lost."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import broadcast_if_small, fresh_name, give_back, materialize, small_enough
 from .components import connected_components
 
@@ -115,18 +117,19 @@ def sketch(hashes: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
 
 
 def _facts(df: DataFrame, words: int) -> DataFrame:
-    """`row`, `digest` (of the set), `n` (its size), `sketch`, and `long` (the second one, or null)."""
+    """`row`, `fp` (the text's SimHash), `digest` (of the set), `n` (its size), `sketch`, and `long` (the second one, or null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            prints = np.fromiter((simhash.fingerprint(body.as_py(), words) for body in batch.column(1)), np.uint64, batch.num_rows)
             sets = (shingles(body.as_py(), words) for body in batch.column(1))
             facts = [(xxhash.xxh3_128_digest(x.tobytes()), len(x), sketch(x), sketch(x, LONG_WORDS) if len(x) >= LONG_SET else None) for x in sets]
             digests, sizes, *sketches = zip(*facts, strict=True) if facts else ((), (), (), ())
-            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in sketches)]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "digest", "n", "sketch", "long"])
+            columns = [batch.column(0), pa.array(prints.view(np.int64)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in sketches)]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "fp", "digest", "n", "sketch", "long"])
             give_back()
 
-    return df.select("row", "body").mapInArrow(run, "row long, digest binary, n int, sketch array<long>, long array<long>")
+    return df.select("row", "body").mapInArrow(run, "row long, fp long, digest binary, n int, sketch array<long>, long array<long>")
 
 
 def _pruned(pairs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -177,41 +180,70 @@ def _shared(texts: DataFrame, words: int) -> DataFrame:
     return materialize(counted.distinct(), "near-shared")
 
 
-def links(texts: DataFrame, facts: DataFrame, words: int = SHINGLE_WORDS, dense_key: int = DENSE_KEY) -> DataFrame:
-    """Links `a`, `b` that join what the similar pairs of `texts` (`row`, `body`, distinct sets) join.
-    facts: `row`, `n`, `sketch`, `long`.
+def fingerprint_pairs(facts: DataFrame) -> DataFrame:
+    """Pairs `a`, `b` that the SimHash operator links: texts of one fingerprint with the first of them, and
+    the first ones of fingerprints that pigeonring finds within its distance. Sizes and sketches must allow them.
+    facts: `row`, `fp`, `n`, `sketch`."""
+    prints = materialize(facts.groupBy("fp").agg(F.min("row").alias("first")), "near-prints")
+    equal = facts.join(prints, "fp").filter("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    near = simhash.links(prints.select("fp"))
+    for x in ("a", "b"):
+        near = near.join(prints.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_first")), x)
+    pairs = materialize(equal.unionByName(near.select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))), "near-prints-met")
+    for x in ("a", "b"):
+        pairs = pairs.join(facts.select(F.col("row").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "sketch")]), x)
+    return pairs.filter(_may_be_similar("a_", "b_")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def groups(texts: DataFrame, facts: DataFrame, words: int = SHINGLE_WORDS, dense_key: int = DENSE_KEY) -> DataFrame:
+    """`row`, `comp` (the least row of the component) of the `texts` (`row`, `body`, distinct sets) that are
+    similar to another. facts: `row`, `fp`, `n`, `sketch`, `long`.
 
+    SimHash comes first: what its fingerprints link is compared whole, and joined if it is similar. Texts of
+    the similarity asked for can differ in more bits than pigeonring can look for, so the rest is met exactly.
     Two similar sets share one of the first fifth of their elements in any order common to all, so
-    pairs are looked for there, rare shingles first, and pruned by sizes and sketches in the join that
-    finds them. What passes is compared whole: first the likeliest pair of each text, then those pairs
-    that are not yet of one component. A key that over `dense_key` texts share would give pairs with
-    the square of their number: there each text is met with a few leaders first, and only after what
+    pairs not yet of one component are looked for there, rare shingles first, and pruned by sizes and sketches
+    in the join that finds them. What passes is compared whole: first the likeliest pair of each text, then those
+    pairs that are not yet of one component. A key that over `dense_key` texts share would give pairs
+    with the square of their number: there each text is met with a few leaders first, and only after what
     these have joined are pairs that are not yet of one component, spread over tasks.
     """
-    keyed = materialize(_shared(texts, words).join(facts.select("row", "n", "sketch"), "row"), "near-keyed")
+    parts = _grown(None, _verified(_pruned(fingerprint_pairs(facts), facts), texts, words))
+    shared = _shared(texts, words).join(facts.select("row", "n", "sketch"), "row").join(parts, "row", "left")
+    keyed = materialize(shared.withColumn("comp", F.coalesce("comp", "row")), "near-keyed")
     sparse = keyed.filter(F.col("m") <= dense_key)
-    a, b = (sparse.select("key", *[F.col(c).alias(f"{x}{c}") for c in ("row", "n", "sketch")]) for x in ("a_", "b_"))
-    met = a.join(b, "key").filter("a_row < b_row")
+    a, b = (sparse.select("key", *[F.col(c).alias(f"{x}{c}") for c in ("row", "n", "sketch", "comp")]) for x in ("a_", "b_"))
+    met = a.join(b, "key").filter("a_row < b_row and a_comp <> b_comp")
     crowd = keyed.filter(F.col("m") > dense_key)
-    to_leaders = crowd.join(_leaders(crowd), "key").withColumnsRenamed({c: f"a_{c}" for c in ("row", "n", "sketch")}).filter("a_row <> b_row")
+    to_leaders = crowd.join(_leaders(crowd), "key").withColumnsRenamed({c: f"a_{c}" for c in ("row", "n", "sketch", "comp")}).filter("a_row <> b_row and a_comp <> b_comp")
     pairs = materialize(_pruned(_pairs(met).unionByName(_pairs(to_leaders)).distinct(), facts), "near-candidates")
 
     both = pairs.select(F.col("a").alias("row"), "*").unionByName(pairs.select(F.col("b").alias("row"), "*"))
     likeliest = both.groupBy("row").agg(F.min(F.struct("differing", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    found = _verified(likeliest, texts, words)
-
-    of = lambda x: parts.select(F.col("row").alias(x), F.col("comp").alias(f"{x}_comp"))
-    parts = _parts(found)
-    rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.filter(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")).join(likeliest, ["a", "b"], "left_anti").select("a", "b")
-    found = found.unionByName(_verified(rest, texts, words))
+    parts = _grown(parts, _verified(likeliest, texts, words))
+    rest = _apart(pairs, parts).join(likeliest, ["a", "b"], "left_anti")
+    parts = _grown(parts, _verified(rest, texts, words))
     # Only what no leader has joined is left to the pairs of the crowds.
-    return found.unionByName(_verified(_pruned(_crowd_pairs(crowd, _parts(found)).distinct(), facts), texts, words))
+    return _grown(parts, _verified(_pruned(_crowd_pairs(crowd.drop("comp"), parts).distinct(), facts), texts, words))
+
+
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs `a`, `b` of different components, with these: `a_comp`, `b_comp`."""
+    for x in ("a", "b"):
+        pairs = pairs.join(parts.select(F.col("row").alias(x), F.col("comp").alias(f"{x}_comp")), x, "left").withColumn(f"{x}_comp", F.coalesce(f"{x}_comp", x))
+    return pairs.filter("a_comp <> b_comp").select("a", "b", "a_comp", "b_comp")
 
 
-def _parts(found: DataFrame) -> DataFrame:
-    """`row`, `comp` of the rows that links join."""
-    return materialize(connected_components(found).select(F.col("node").alias("row"), F.col("component").alias("comp")), "near-parts")
+def _grown(parts: DataFrame | None, found: DataFrame) -> DataFrame:
+    """`row`, `comp` of the rows that `parts` and the links `found` join. Components are single nodes by then, so
+    each row goes through the rounds once, whatever number of links lead to it later."""
+    if parts is None:
+        return materialize(connected_components(found).select(F.col("node").alias("row"), F.col("component").alias("comp")), "near-parts")
+    edges = _apart(found, parts).select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+    new = materialize(connected_components(edges), "near-joined")
+    moved = parts.join(new, F.col("comp") == F.col("node"), "left").select("row", F.coalesce("component", "comp").alias("comp"))
+    fresh = new.join(parts, F.col("node") == F.col("row"), "left_anti").select(F.col("node").alias("row"), F.col("component").alias("comp"))
+    return materialize(moved.unionByName(fresh), "near-parts")
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -237,7 +269,7 @@ def _crowd_pairs(crowd: DataFrame, parts: DataFrame) -> DataFrame:
 def _leaders(crowd: DataFrame) -> DataFrame:
     """LEADERS rows of each key, by hashes of row and key: a text that shares many keys with others meets many
     different leaders, so that few texts are left whose component no leader told."""
-    row = F.struct(*[F.col(c).alias(f"b_{c}") for c in ("row", "n", "sketch")])
+    row = F.struct(*[F.col(c).alias(f"b_{c}") for c in ("row", "n", "sketch", "comp")])
     picked = F.array_distinct(F.array(*[F.min_by(row, F.xxhash64("row", "key", F.lit(i))) for i in range(LEADERS)]))
     return crowd.groupBy("key").agg(picked.alias("picked")).select("key", F.explode_outer("picked").alias("l")).select("key", "l.*")
 
@@ -252,14 +284,13 @@ def drop_similar(df: DataFrame, id_col: str, text: str, words: int = SHINGLE_WOR
     ids = docs.select(F.col(row).alias("row"), F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("rank"))
     facts = materialize(_facts(texts, words).join(ids, "row"), "near-facts")
     # Equal sets first: in linear time, and each set is compared once.
-    firsts = materialize(facts.groupBy("digest").agg(F.min("rank").alias("rank"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("long").alias("long")), "near-firsts")
+    firsts = materialize(facts.groupBy("digest").agg(F.min("rank").alias("rank"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("long").alias("long"), F.min_by("fp", "rank").alias("fp")), "near-firsts")
     equal = facts.join(firsts.select("digest", F.col("rank.row").alias("first")), "digest").filter("row <> first").select("row")
     equal = _small(materialize(equal, "near-equal"))
-    firsts = firsts.select(F.col("rank.row").alias("row"), "rank", "n", "sketch", "long")
-    found = links(texts.join(equal, "row", "left_anti"), firsts, words, dense_key)
-    parts = materialize(connected_components(found), "near-groups").join(firsts, F.col("node") == F.col("row"))
-    best = parts.groupBy("component").agg(F.min("rank").alias("best"))
-    worse = parts.join(best, "component").filter(F.col("rank") != F.col("best")).select("row")
+    firsts = firsts.select(F.col("rank.row").alias("row"), "rank", "fp", "n", "sketch", "long")
+    parts = groups(texts.join(equal, "row", "left_anti"), firsts, words, dense_key).join(firsts, "row")
+    best = parts.groupBy("comp").agg(F.min("rank").alias("best"))
+    worse = parts.join(best, "comp").filter(F.col("rank") != F.col("best")).select("row")
     gone = _small(materialize(equal.unionByName(worse), "near-gone")).withColumnRenamed("row", row)
     return docs.join(gone, row, "left_anti").select(*df.columns)
 

@@ -28,7 +28,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the least id. Texts are linked when the sets of their
-    five-word shingles have a similarity of 0.8 or more, exactly."""
+    five-word shingles have a similarity of 0.8 or more, exactly: pairs come from SimHash fingerprints with pigeonring,
+    and from a join of the sets for those whose fingerprints differ in more bits."""
     return drop_similar(docs, "doc_id", "text")
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from colloquy.llm import shingle_join
+from colloquy.llm import shingle_join, simhash
 
 
 def shingle_set(text):
@@ -86,3 +86,37 @@ def test_long_texts(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert shingle_join.drop_similar(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
+
+
+def near_copies(n, seed=7):
+    r = random.Random(seed)
+    base = [f"w{r.randrange(500)}" for _ in range(300)]
+    rows = []
+    for i in range(n):
+        near = list(base)
+        for at in r.sample(range(300), r.randint(1, 4)):
+            near[at] = f"z{r.random()}"
+        rows.append((i, " ".join(near)))
+    return rows
+
+
+def test_fingerprints_are_linked_first(spark, monkeypatch):
+    words = [f"w{i}" for i in range(2000)]
+    one = [*words[:1000], "other", *words[1001:]]
+    rows = [(1, " ".join(words)), (2, " ".join(one)), (3, " ".join(reversed(words)))]
+    assert (simhash.fingerprint(rows[0][1], 5) ^ simhash.fingerprint(rows[1][1], 5)).bit_count() <= 2
+    found = []
+    pairs = shingle_join.fingerprint_pairs
+    monkeypatch.setattr(shingle_join, "fingerprint_pairs", lambda facts: found.append(pairs(facts)) or found[0])
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3]
+    assert found[0].count() == 1
+
+
+def test_later_links_go_between_components_only(spark, monkeypatch):
+    rows, fed = near_copies(300), []
+    components = shingle_join.connected_components
+    monkeypatch.setattr(shingle_join, "connected_components", lambda edges: fed.append(edges.filter("a <> b").distinct().count()) or components(edges))
+    out = shingle_join.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", dense_key=20)
+    assert [r.doc_id for r in out.collect()] == slow_kept(rows)
+    assert sum(fed[1:]) < len(rows)
