@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from colloquy.llm import shingle_join, simhash
+from colloquy.llm import components, shingle_join, simhash
 
 
 def shingle_set(text):
@@ -120,3 +120,19 @@ def test_later_links_go_between_components_only(spark, monkeypatch):
     out = shingle_join.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", dense_key=20)
     assert [r.doc_id for r in out.collect()] == slow_kept(rows)
     assert sum(fed[1:]) < len(rows)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_components_of_stars_and_chains(spark, seed, monkeypatch):
+    r = random.Random(seed)
+    edges = [(0, i) for i in range(1, 30)] + [(i, i + 1) for i in range(100, 120)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)]
+    want = {}
+    for a, b in edges:
+        if a != b:
+            both = want.get(a, {a}) | want.get(b, {b})
+            want |= dict.fromkeys(both, both)
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert {tuple(x) for x in components.connected_components(df).collect()} == {(x, min(g)) for x, g in want.items()}
+    # A star is its own result: no round, so no join of its links.
+    monkeypatch.setattr(components, "_large_star", None)
+    assert components.connected_components(df.filter("b < 30")).count() == 30
