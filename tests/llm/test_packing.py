@@ -1,6 +1,7 @@
 """Packing: exact ids, whole documents, gapless places, and few sequences."""
 
 import random
+import re
 import sys
 import unicodedata
 import zlib
@@ -54,6 +55,38 @@ def test_bytes_that_are_no_text_and_other_files():
     assert [g.tolist() for g in got] == [whole.encode(x or "", add_special_tokens=False).ids for x in texts()]
 
 
+def test_each_part_is_asked_once_and_plain_ones_of_the_model():
+    """Words that differ in marks and capitals share what is remembered; only other words go through the
+    file's rules for text."""
+    t = tokens.WordTokenizer(tokens.default_tokenizer())
+
+    class Asked:
+        def __init__(self, of):
+            self.of, self.rows = of, []
+
+        def encode_batch_fast(self, rows, **options):
+            self.rows += rows
+            return self.of.encode_batch_fast(rows, **options)
+
+    asked = Asked(t._tokenizer)
+    t._tokenizer = asked
+    rows = ["Wörter, wörter. WÖRTER!!", "мир МИР? ÆØþ,", "x=1, it's"]
+    got = [g.tolist() for g in t.encode(pa.array([r.encode() for r in rows], pa.binary()))]
+    assert got == [asked.of.encode(r, add_special_tokens=False).ids for r in rows]
+    assert {"wörter", "мир", "æøþ"}.isdisjoint(" ".join(asked.rows).lower().split())
+    assert sorted(t._known.to_pylist()) == sorted(["wörter", "мир", "æøþ", "x=1,", "it's", ",", ".", "!!", "?", ""])
+
+
+def test_letters_of_bytes():
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    plain = re.compile(tokens._PLAIN)
+    words = ["".join(chr(c) for c in range(1, 0x530) if plain.match(chr(c))), "a b"]
+    rules = ByteLevel(add_prefix_space=False, use_regex=False)
+    want = [" ".join(rules.pre_tokenize_str(x)[0][0] for x in w.split()) for w in words]
+    assert tokens._byte_letters(pa.array(["skipped", *words]).slice(1)) == want
+
+
 @pytest.mark.parametrize(("parts", "fan_in"), [(1, 8), (9, 2)])
 def test_documents_are_packed_whole(spark, parts, fan_in):
     rows = list(enumerate(texts()))
