@@ -1,6 +1,7 @@
 """The permutation, and exact round trips through the shards."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -49,3 +50,24 @@ def test_empty(spark):
     folder = fresh_path(spark, "order-test")
     assert to.write(spark.createDataFrame([], "doc_id long, text string"), folder).collect() == []
     assert list(to.read_from(folder)) == []
+
+
+def test_plain_words_cost_no_rules_for_text(monkeypatch):
+    """The ids of a partition's stream are the tokenizer's, and of its words only those that are not plain
+    letters went through the file's rules for text."""
+    used = to.tokenizer(default_tokenizer())
+    whole, asked = used._tokenizer, []
+
+    class Asked:
+        def encode_batch_fast(self, rows, **options):
+            asked.extend(rows)
+            return whole.encode_batch_fast(rows, **options)
+
+    monkeypatch.setattr(used, "_tokenizer", Asked())
+    used._forget()
+    texts = ["Straßen straßen, STRASSEN. Übermäßig?", "Слово слово! plain words and x=2"] * 40
+    batch = pa.RecordBatch.from_arrays([pa.array(range(80)), pa.array([t.encode() for t in texts], pa.binary())], names=["doc_id", "body"])
+    found = list(to._sequences(iter([batch]), default_tokenizer(), 64, 1))
+    want = [i for t in texts for i in (*whole.encode(t, add_special_tokens=False).ids, 1)]
+    assert np.concatenate([ids for ids, _ in found]).tolist() == want
+    assert sorted(set(asked)) == sorted({"x=2", ",", ".", "?", "!", ""})
